@@ -309,3 +309,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.join(least, "component").select("d1", "d2", "n", "component_id")
     out = sizes.join(named, ["d1", "d2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; rows with a null id stay. Texts only
+    move if more ids go than may be broadcast."""
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    gone = keep(found.filter(f"{id_col} <> component_id").select(F.col(id_col).alias("gone")).distinct(), "removed-ids")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")

@@ -154,3 +154,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         "key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double",
     )
     return out.withColumnRenamed("key", id_col)
+
+
+def _filter_rows(model, threshold: float):
+    def run(batches):
+        score = _score_rows(model, threshold)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            pair = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["key", "text"])
+            kept = pa.concat_arrays([b.column(b.schema.get_field_index("kept")) for b in score([pair])]) if batch.num_rows else pa.array([], pa.bool_())
+            yield batch.filter(kept)
+
+    return run
+
+
+def filter_kept(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """The rows of docs that judge() keeps, without a join: texts do not move."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, buckets, target_docs))
+    named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
+    out = named.mapInArrow(_filter_rows(model, threshold), named.schema)
+    return out.withColumnRenamed("text", text_col) if text_col != "text" else out

@@ -35,12 +35,36 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronofold.llm import pii
+
+    return pii.scrub(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronofold.llm import jaccard_join
 
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronofold.llm import chat_format
+
+    return chat_format.parse_transcripts(chat_format.transcripts(_table(spark, sf_dir, "conversations")))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronofold.llm import quality_classifier
+
+    return quality_classifier.score(*(_table(spark, sf_dir, t) for t in ("documents", "labels", "pages")))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronofold.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronofold.llm import mixing
 
@@ -48,6 +72,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronofold.llm import language_id
+
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 JACCARD_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'x^', ''), '[^\x20\x09-\x0D]+') as w from documents
