@@ -68,20 +68,20 @@ MARK = np.array([[0.9, 0.01, 0.01, 0.08] if s == 0 else [0.01, 0.85, 0.02, 0.12]
 LINE = np.array([[0.02, 0.05, 0.08, 0.35, 0.50], [0.15, 0.03, 0.22, 0.25, 0.35], [0.01, 0.35, 0.04, 0.35, 0.25], [0.18, 0.20, 0.12, 0.25, 0.25], [0.01, 0.06, 0.08, 0.25, 0.60], [0.18, 0.05, 0.27, 0.15, 0.35]])
 
 
-def observe(line: str) -> tuple[int, int, str]:
-    """Marker kind, line feature, and the line without its marker."""
+def observe(line: str) -> tuple[int, int, bool, str]:
+    """Marker kind, line feature, whether the marker is a heading, and the line without it."""
     m = MARKER.match(line)
     rest = line[m.end() :] if m else line
     s = rest.strip()
     feature = 0 if not s else 1 if s.endswith("?") else 2 if re.match(r"[-*•`]|\d+[.)]\s|\s{4}", rest) else 3 if len(s) < 60 else 4
-    return (_ROLE_OF[m[m.lastgroup].lower()] if m else NO_MARKER), feature, rest
+    return (_ROLE_OF[m[m.lastgroup].lower()] if m else NO_MARKER), feature, bool(m and m.lastgroup == "a"), rest
 
 
 def emissions(lines: list[str]) -> tuple[np.ndarray, list[tuple[bool, str]]]:
-    """Log emissions by line and state, and of each line whether it had a marker and what follows it."""
+    """Log emissions by line and state, and of each line whether it is a heading and what follows it."""
     seen = [observe(x) for x in lines]
     kinds, features = np.array([x[0] for x in seen], int), np.array([x[1] for x in seen], int)
-    return np.log(MARK[:, kinds] * LINE[:, features]).T.reshape(-1, 6), [(x[0] != NO_MARKER, x[2]) for x in seen]
+    return np.log(MARK[:, kinds] * LINE[:, features]).T.reshape(-1, 6), [x[2:] for x in seen]
 
 
 def chain(e: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def _turns(table: pa.Table) -> pa.Table:
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         role, opens = ROLES[path[a] // 2], path[a] % 2 == 0
-        alone = opens and b - a > 1 and rest[a][0] and not rest[a][1]  # a marker on a line of its own
+        alone = opens and b - a > 1 and rest[a][0] and not rest[a][1]  # a heading names the turn and is no line of it
         text = "\n".join(x if i or not opens else y for i, (x, (_, y)) in enumerate(zip(lines[a:b], rest[a:b], strict=True)) if i or not alone)
         out.append((role, opens, b - a, text, f"<|{role}|>\n{text}\n" if opens else f"{text}\n"))
     n = len(out)

@@ -25,7 +25,8 @@ from chronofold.llm import textvec as tv
 U = tv.U
 BUCKETS = 1 << 16
 GRAM = 4
-THRESHOLD = -0.1
+SHRINK = 10.0
+THRESHOLD = -0.3
 TARGET_DOCS = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -113,7 +114,7 @@ def _count_rows(buckets: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> np.ndarray:
-    """Log ratios of the two multinomials, smoothed by one, in 1/65536."""
+    """Log ratios of the two multinomials, shrunk to 0 for rare buckets, in 1/65536."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
     good = F.broadcast(good.orderBy(F.xxhash64("id"), "id").limit(target_docs)).withColumn("good", F.lit(True))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left")
@@ -124,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", bu
     target[counts.column(0).to_numpy()] = counts.column(2).to_numpy()
     if not target.sum():
         return np.zeros(buckets, np.int64)
-    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    # Counts expected if target were like raw; both sides shrink by SHRINK, so rare buckets say little.
+    expected = raw * (target.sum() / raw.sum())
+    ratio = np.log((target + SHRINK) / (expected + SHRINK))
     return np.round(ratio * 65536).astype(np.int64)
 
 
