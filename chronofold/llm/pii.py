@@ -38,7 +38,7 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-]+(?:\.[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-]+)*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
     r"|(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
     r"|(?P<phone>(?:(?<![0-9A-Za-z])|(?=\+))(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]))"
-    r"|(?<![0-9])(?<![0-9][ \-])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![ \-]?[0-9])"
+    r"|(?<![0-9])(?P<card>[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
     r"|(?<![0-9\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9\-])"
     r"|(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9])"
     r"|(?<![0-9/\-.])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/\-])"

@@ -115,15 +115,3 @@ def test_co_training(spark):
 def test_pages_name_documents(spark):
     p = spark.createDataFrame([("https://a.example.org/fr/12?page=2",), ("http://b.example.com/en/12.html",), ("x",), (None,)], "url string")
     assert [tuple(r) for r in qc.page_metadata(p).collect()] == [(12, "b.example.com", "com", ".html", "")]
-
-
-def test_entry_without_llm():
-    import subprocess
-    import sys
-
-    code = "import sys, importlib.abc\nsys.modules['chronofold.llm'] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert 'asof_recorded' in q and not any(k.startswith('op1') for k in q)"
-    import os
-
-    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    done = subprocess.run([sys.executable, "-c", code], cwd=home, capture_output=True, text=True)
-    assert done.returncode == 0 or "ValueError" in done.stderr

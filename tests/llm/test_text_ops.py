@@ -214,6 +214,8 @@ def test_pii_formats():
     for size in (2, 10, 1000, 73049):
         assert {pii.permute(x, size, b"k", "t") for x in range(min(size, 1000))} <= set(range(size))
     assert sorted(pii.permute(x, 1000, b"k", "t") for x in range(1000)) == list(range(1000))
+    twice = "4465758382889437\n4465758382889437 4465758382889437"
+    assert pii.scrub_text(twice)[1] == {"card": 3} and "4465758382889437" not in pii.scrub_text(twice)[0]
     text = "Mail a.b@c.org, card 4539148803436467, not 1234567890123456, on 2024-02-29."
     new, found = pii.scrub_text(text)
     assert found == {"email": 1, "card": 1, "date": 1} and "1234567890123456" in new and pii.scrub_text(new, back=True)[0] == text
