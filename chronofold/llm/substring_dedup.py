@@ -9,8 +9,8 @@ have equal names. What a suffix array of dictionary and parse would put side by
 level instead, coarse to fine, as only agreement over `length` bytes counts, not the order beyond it:
 
 1. triggers whose half context, `length`/2 bytes forward or backward, occurs elsewhere (most drop out);
-2. ranges of `length`/8 starts: settled whole if the string that spans the range occurs elsewhere, and
-   dropped if the core that its strings share does not;
+2. ranges of `length`/8 starts, then a seventh of these: settled whole if the string that spans the range
+   occurs elsewhere, and dropped if the core that its strings share does not;
 3. single starts, in the ranges that remain, by 128-bit hashes of their strings.
 
 Scale: level 1 is one row for about 200 bytes of text; levels 2 and 3 only hold repeated places. Equal
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as tv
-from chronofold.llm.frames import keep
+from chronofold.llm.frames import forget, keep
 
 U = tv.U
 K = 16
@@ -90,37 +90,74 @@ def _half_rows(length: int):
     return run
 
 
-def _range_rows(length: int):
-    """Texts with their repeated triggers to ranges of starts: (cls, q, part, lo, hi, core, whole)."""
-    step = max(1, length // 8)
+ROWS = "cls long, q long, a long, lo long, hi long, known boolean, core long, w1 long, w2 long"
+
+
+def _cut(data, offsets, powers, row, q, a, width, first, last, cls, known, length: int) -> pa.RecordBatch:
+    """Rows of ranges of starts q - a - width + 1 .. q - a, as far as first .. last allow: the hash of what
+    their strings share and, of full ranges, two hashes of what their strings span."""
+    prefixes = [p.prefix(data) for p in powers]
+    top, low = q - a, q - a - width + 1
+    tag = a.astype(U)
+    core = tv.mix(powers[0].spans(prefixes[0], top, low + length) + tag)
+    full = (low >= first) & (top <= last)
+    b, e = np.where(full, low, 0), np.where(full, top + length, 0)
+    whole = [tv.mix(p.spans(x, b, e) + tag).view(np.int64) for p, x in zip(powers, prefixes, strict=True)]
+    at = offsets[row]
+    arrays = [pa.array(cls[row]), pa.array(q - at), pa.array(a), pa.array(np.maximum(low, first) - at), pa.array(np.minimum(top, last) - at), pa.array(known), pa.array(core.view(np.int64)), *(pa.array(x, mask=~full) for x in whole)]
+    return pa.RecordBatch.from_arrays(arrays, ["cls", "q", "a", "lo", "hi", "known", "core", "w1", "w2"])
+
+
+def _both() -> tuple[tv.Powers, tv.Powers]:
+    return tv.Powers(), tv.Powers(0xD1342543DE82EF95)
+
+
+def _range_rows(length: int, width: int):
+    """Texts with their repeated triggers to ranges of `width` starts."""
 
     def run(batches):
-        powers, other = tv.Powers(), tv.Powers(0xD1342543DE82EF95)
+        powers = _both()
         for batch, data, offsets in tv.blocks(batches, "text"):
-            prefix, prefix2 = powers.prefix(data), other.prefix(data)
-            row, q, first, last = triggers(data, offsets, prefix, powers, length)
-            wanted = _places(batch.column(2), offsets)
-            own = np.isin(q, wanted)
+            row, q, first, last = triggers(data, offsets, powers[0].prefix(data), powers[0], length)
+            own = np.isin(q, _places(batch.column(2), offsets))
             row, q, first, last = row[own], q[own], first[own], last[own]
-            lo_part, hi_part = (q - last) // step, (q - first) // step
-            n = hi_part - lo_part + 1
+            part = (q - last) // width
+            n = (q - first) // width - part + 1
             i = np.repeat(np.arange(len(q)), n)
-            part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + lo_part[i]
-            row, q, first, last = row[i], q[i], first[i], last[i]
-            top = q - part * step
-            core = tv.mix(powers.spans(prefix, top, top + length - step + 1) + part.astype(U))
-            low = top - step + 1
-            full = (low >= first) & (top <= last)
-            a, b = np.where(full, low, 0), np.where(full, top + length, 0)
-            whole = [tv.mix(p.spans(x, a, b) + part.astype(U)).view(np.int64) for p, x in ((powers, prefix), (other, prefix2))]
-            cls = batch.column(0).to_numpy()[row]
-            at = offsets[row]
-            arrays = [pa.array(cls), pa.array(q - at), pa.array(part), pa.array(np.maximum(low, first) - at), pa.array(np.minimum(top, last) - at), pa.array(core.view(np.int64)), *(pa.array(x, mask=~full) for x in whole)]
-            yield pa.RecordBatch.from_arrays(arrays, ["cls", "q", "part", "lo", "hi", "core", "w1", "w2"])
+            a = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + part[i]) * width
+            yield _cut(data, offsets, powers, row[i], q[i], a, np.full(len(i), width), first[i], last[i], batch.column(0).to_numpy(), np.zeros(len(i), bool), length)
+
+    return run
+
+
+def _narrow_rows(length: int, width: int, sub: int):
+    """Texts with open ranges (q, a, lo, hi, settled) of `width` starts to ranges of `sub` starts."""
+
+    def run(batches):
+        powers = _both()
+        for batch, data, offsets in tv.blocks(batches, "text"):
+            row, q, a, lo, hi, known = _spans(batch.column(2), offsets, ("q", "lo", "hi"), "a")
+            pieces = -(-width // sub)
+            i = np.repeat(np.arange(len(q)), pieces)
+            j = np.tile(np.arange(pieces), len(q)) * sub
+            size = np.minimum(sub, width - j)
+            a = a[i] + j
+            some = (q[i] - a >= lo[i]) & (q[i] - a - size + 1 <= hi[i])
+            i, a, size = i[some], a[some], size[some]
+            yield _cut(data, offsets, powers, row[i], q[i], a, size, lo[i], hi[i], batch.column(0).to_numpy(), known[i], length)
 
     return run
 
 
+def _spans(column, offsets, placed: tuple[str, ...], plain: str | None):
+    """Lists of structs to arrays: row, q, a, lo, hi, settled; places become places in the block."""
+    flat = column.flatten()
+    per = np.diff(column.offsets.to_numpy())
+    row = np.repeat(np.arange(len(per)), per)
+    q, lo, hi = (flat.field(f).to_numpy() + offsets[row] for f in placed)
+    return row, q, flat.field(plain).to_numpy(), lo, hi, flat.field("settled").to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _places(column, offsets) -> np.ndarray:
     """Lists of places in texts to places in the block."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -131,19 +168,14 @@ def _start_rows(length: int):
     """Texts with their open ranges to single starts: (cls, p, settled, w1, w2)."""
 
     def run(batches):
-        powers, other = tv.Powers(), tv.Powers(0xD1342543DE82EF95)
+        powers = _both()
         for batch, data, offsets in tv.blocks(batches, "text"):
-            spans = batch.column(2)
-            flat = spans.flatten()
-            per = np.diff(spans.offsets.to_numpy())
-            row = np.repeat(np.arange(len(per)), per)
-            lo, hi = (flat.field(i).to_numpy() + offsets[row] for i in (0, 1))
-            settled = flat.field(2).to_numpy(zero_copy_only=False)
+            row, _, _, lo, hi, settled = _spans(batch.column(2), offsets, ("q", "lo", "hi"), "a")
             n = hi - lo + 1
             i = np.repeat(np.arange(len(lo)), n)
             p = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + lo[i]
-            hashes = [tv.mix(w.spans(w.prefix(data), p, p + length)).view(np.int64) for w in (powers, other)]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row[i]]), pa.array(p - offsets[row[i]]), pa.array(settled[i].astype(bool)), *map(pa.array, hashes)], ["cls", "p", "settled", "w1", "w2"])
+            hashes = [tv.mix(w.spans(w.prefix(data), p, p + length)).view(np.int64) for w in powers]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row[i]]), pa.array(p - offsets[row[i]]), pa.array(settled[i]), *map(pa.array, hashes)], ["cls", "p", "settled", "w1", "w2"])
 
     return run
 
@@ -177,6 +209,20 @@ def _several(df: DataFrame, keys: list[str], place) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 <> p1").select(*keys)
 
 
+def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges whose strings all repeat, as (cls, lo, hi), and, by class, the ranges that need a closer look:
+    those not settled whose core occurs elsewhere, and one settled range of each content as partner."""
+    place = F.xxhash64("cls", "q", "a")
+    whole = ranges.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.max("known").alias("k")).filter("p0 <> p1 or k").select("w1", "w2", "p0")
+    first = (place == F.col("p0")) | (F.col("known") & F.col("w1").isNull())
+    df = ranges.join(whole, ["w1", "w2"], "left").select("cls", "q", "a", "lo", "hi", "known", "core", (F.col("known") | F.col("p0").isNotNull()).alias("settled"), F.coalesce(first, F.lit(False)).alias("first"))
+    df = keep(df, "settled")
+    cores = df.groupBy("core").agg(F.min(place).alias("c0"), F.max(place).alias("c1"), F.max(~F.col("settled")).alias("open")).filter("c0 <> c1 and open").select("core")
+    rest = df.filter("not settled or first").join(cores, "core", "left_semi")
+    rest = keep(rest.groupBy("cls").agg(F.collect_set(F.struct("q", "a", "lo", "hi", "settled")).alias("spans")), "open-ranges")
+    return df.filter("settled and not known").select("cls", "lo", "hi"), rest
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     if length < 4 * K:
@@ -189,24 +235,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     halves = keep(texts.filter(F.octet_length("text") >= length).select("cls", "text").mapInArrow(_half_rows(length), "key long, cls long, q long"), "half-contexts")
     hits = halves.join(_several(halves, ["key"], F.xxhash64("cls", "q")), "key", "left_semi")
     hits = keep(hits.groupBy("cls").agg(F.collect_set("q").alias("places")), "repeated-triggers")
+    forget(halves)
     ids = keep(classes.join(hits.select("cls"), "cls", "left_semi").select("cls", F.coalesce("rep", F.lit(-(1 << 63))).alias("rep")), "repeated-texts")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     named = texts.withColumnRenamed("cls", "own").withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
     # Rows that repeat an id and its text come twice; places and spans are sets by class, so this is harmless.
     held = keep(named.join(chosen, (F.col("key") == F.col("rep")) & (F.col("own") == F.col("cls"))).select("cls", "text"), "held-texts")
 
-    ranges = held.join(hits, "cls").select("cls", "text", "places").mapInArrow(_range_rows(length), "cls long, q long, part long, lo long, hi long, core long, w1 long, w2 long")
-    ranges = keep(ranges.withColumn("place", F.xxhash64("cls", "q", "part")), "ranges")
-    whole = ranges.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).filter("p0 <> p1").select("w1", "w2", "p0")
-    ranges = keep(ranges.join(whole, ["w1", "w2"], "left").select("cls", "lo", "hi", "core", "place", F.col("p0").isNotNull().alias("settled"), (F.col("place") == F.col("p0")).alias("first")), "ranges-settled")
-    cores = ranges.groupBy("core").agg(F.min("place").alias("c0"), F.max("place").alias("c1"), F.max(~F.col("settled")).alias("open")).filter("c0 <> c1 and open").select("core")
-    open_ranges = ranges.filter("not settled or first").join(cores, "core", "left_semi")
-    open_ranges = open_ranges.groupBy("cls").agg(F.collect_set(F.struct("lo", "hi", "settled")).alias("spans"))
-    starts = held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_start_rows(length), "cls long, p long, settled boolean, w1 long, w2 long")
-    starts = keep(starts.withColumn("place", F.xxhash64("cls", "p")), "starts")
-    several = starts.groupBy("w1", "w2").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.max("settled").alias("known")).filter("p0 <> p1 or known").select("w1", "w2")
+    width = max(1, length // 8)
+    sub = max(1, width // 7)
+    ranges = keep(held.join(hits, "cls").select("cls", "text", "places").mapInArrow(_range_rows(length, width), ROWS), "ranges")
+    done, open_ranges = _settle(ranges)
+    forget(ranges)
+    ranges = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_narrow_rows(length, width, sub), ROWS), "narrow-ranges")
+    done2, open_ranges = _settle(ranges)
+    forget(ranges)
+    starts = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_start_rows(length), "cls long, p long, settled boolean, w1 long, w2 long"), "starts")
+    place = F.xxhash64("cls", "p")
+    several = starts.groupBy("w1", "w2").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.max("settled").alias("known")).filter("p0 <> p1 or known").select("w1", "w2")
     single = starts.filter("not settled").join(several, ["w1", "w2"], "left_semi").select("cls", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    spans = ranges.filter("settled").select("cls", "lo", "hi").unionByName(single).groupBy("cls").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = done.unionByName(done2).unionByName(single).groupBy("cls").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = held.join(spans, "cls").select("cls", "text", "spans").mapInArrow(_cut_rows(length), "cls long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["cls"])
     known = classes.select("cls", "cls2", "members").join(cut, "cls", "left")
     out = sizes.join(known, ["cls", "cls2"], "left")
