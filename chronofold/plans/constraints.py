@@ -67,17 +67,19 @@ def unique_violations(current: DataFrame, kind: str, value) -> DataFrame:
     return df.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
-def audit(events: DataFrame, versions: DataFrame, graph) -> DataFrame:
-    """All violations as (rule, kind, subject); empty if clean. Nothing is changed."""
+def audit(events: DataFrame, versions: DataFrame, graph, after_tx: int | None = None) -> DataFrame:
+    """All violations as (rule, kind, subject); empty if clean. Nothing is changed. With `after_tx` only
+    those that later transactions made: events may then be the part of history these can depend on."""
+    new = lambda df, tx="tx": df if after_tx is None else df.filter(F.col(tx) > after_tx)
     say = lambda df, rule, kind, subject: df.select(F.lit(rule).alias("rule"), kind.alias("kind"), subject.alias("subject"))
     parts = [
-        say(inverted_windows(versions), "window", F.col("kind"), F.coalesce("id", F.concat_ws("->", "from_id", "to_id"))),
-        say(missing_endpoints(events), "endpoint", F.col("kind"), F.concat_ws("->", "from_id", "to_id")),
-        say(restricted_deletes(events), "restricted", F.col("kind"), F.col("id")),
+        say(new(inverted_windows(versions), "tx_from"), "window", F.col("kind"), F.coalesce("id", F.concat_ws("->", "from_id", "to_id"))),
+        say(new(missing_endpoints(events)), "endpoint", F.col("kind"), F.concat_ws("->", "from_id", "to_id")),
+        say(new(restricted_deletes(events)), "restricted", F.col("kind"), F.col("id")),
     ]
     ones = [e.name for e in graph.edges.values() if e.cardinality == "one"]
     if ones:
-        parts.append(say(cardinality_violations(events, ones), "cardinality", F.col("kind"), F.concat_ws("->", "from_id", "to_id")))
+        parts.append(say(new(cardinality_violations(events, ones)), "cardinality", F.col("kind"), F.concat_ws("->", "from_id", "to_id")))
     current = versions.filter("tx_to is null and not deleted")
     for n in graph.nodes.values():
         if n.unique:
@@ -89,7 +91,7 @@ def audit(events: DataFrame, versions: DataFrame, graph) -> DataFrame:
 
 
 def check(events: DataFrame, versions: DataFrame, graph, after_tx: int = 0) -> None:
-    """Raise with the first violation."""
-    bad = audit(events, versions, graph).orderBy("rule", "kind", "subject").limit(1).collect()
+    """Raise with the first violation that transactions after `after_tx` made."""
+    bad = audit(events, versions, graph, after_tx).orderBy("rule", "kind", "subject").limit(1).collect()
     if bad:
         raise ConstraintError(f"{bad[0]['rule']}: {bad[0]['kind']} {bad[0]['subject']}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.errors import DroppedChangeError
 from chronofold.functions.offsets import offset_ord
-from chronofold.plans import constraints, events as ev, fold as folding
+from chronofold.plans import constraints, events as ev, fold as folding, incremental
 
 MAX_BATCH = 1000
 
@@ -95,7 +95,7 @@ def consume(source, store, decode: ev.Decoder, stop: int | None = None, max_batc
     rows = store.stage(decode(changes), "events")
     ev.check_events(rows)
     history = store.events()
-    every = rows if history is None else history.unionByName(rows)
+    every = rows if history is None else incremental.relevant(history, rows, store.graph).unionByName(rows)
     lost = dropped_changes(changes, folding.effective_writes(every)).orderBy("tx", "change_ix").limit(1).collect()
     if lost:
         r = lost[0]

@@ -123,3 +123,46 @@ def test_streaming_wrapper(spark, tmp_path):
     spark.createDataFrame(data[1:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert current(s) == {"a": "a2", "b": "b1", "c": "c1"} and s.recorded_now() == 4
+
+
+TOWN = ev.Graph([ev.NodeKind("P", {"mail": "string"}, unique="mail"), ev.NodeKind("C")], [ev.EdgeKind("at", ["P"], ["C"], cardinality="one")])
+
+
+def town(changes):
+    e = ev.Emitter(TOWN)
+    kind, gone = F.col("label"), F.col("operation") == "delete"
+    a, b = F.split("key", ">")[0], F.split("key", ">")[1]
+    return ev.decode(
+        changes,
+        ((kind == "C") & ~gone, [e.nodes["C"].upsert(F.col("key"), {})]),
+        ((kind == "C") & gone, [e.nodes["C"].remove(F.col("key"))]),
+        ((kind == "at") & ~gone, [e.edges["at"].upsert(("P", a), ("C", b))]),
+        ((kind == "at") & gone, [e.edges["at"].remove(("P", a), ("C", b))]),
+        (~kind.isin("C", "at"), [e.nodes["P"].upsert(F.col("key"), {"mail": kind})]),
+    )
+
+
+def test_rules_hold_across_commits(spark, tmp_path):
+    s = st.BeliefStore(spark, f"file://{tmp_path}/b", TOWN)
+    log = []
+
+    def add(key, operation, label):
+        log.append((f"{len(log):03d}", key, operation, label))
+        try:
+            ingest.consume(source(spark, log), s, town)
+        except ConstraintError:
+            log.pop()
+            raise
+
+    add("p", "insert", "m@x")
+    add("c", "insert", "C")
+    add("d", "insert", "C")
+    add("p>c", "insert", "at")
+    for bad, rule in ((("q", "insert", "M@X"), "unique"), (("p>d", "insert", "at"), "cardinality"), (("c", "delete", "C"), "restricted"), (("z>c", "insert", "at"), "endpoint")):
+        with pytest.raises(ConstraintError, match=rule):
+            add(*bad)
+    add("p", "update", "new@x")
+    add("q", "insert", "m@x")
+    add("p>c", "delete", "at")
+    add("c", "delete", "C")
+    assert rows(s.versions().filter("tx_to is null and not deleted").select("kind", "id")) == [("C", "d"), ("P", "p"), ("P", "q")]
