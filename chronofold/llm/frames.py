@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,6 +39,15 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries now: it does when the driver's objects for them
+    are collected, which a driver with memory to spare may put off."""
+    for _ in range(2):  # what Python lets go of reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 #: Up to so many edges (16 bytes each) one executor task finishes the components.
 TASK_EDGES = 200_000
 

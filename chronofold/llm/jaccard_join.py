@@ -2,14 +2,15 @@
 
 The set of a document holds the hashes of its distinct k-word shingles. Two sets of the same or
 neighbouring size bands with Jaccard similarity >= percent/100 differ in at most `k_max` features.
-PartEnum cuts the feature domain into n1 = k_max // 2 + 1 parts by hash: some part then holds at most
-one of the differences. That part is cut into three, and each subset of two is a signature: the pair
-shares at least one. So nothing is lost, and every hit is verified on whole sets.
+PartEnum cuts the feature domain into k_max // 2 + 1 parts by hash: some part then holds at most one of the
+differences. That part is cut into three, and each subset of two is a signature: the pair shares at least
+one. So nothing is lost, and every hit is verified on whole sets. Subsets that hold no feature are shared by
+unrelated sets, so g more parts are cut: the pair then agrees in g + 1 parts, two of which lie in one of g
+groups of parts. Either has a feature and is a signature by itself, or both are empty, and empty signatures
+of a group are only sent in pairs, which unrelated sets hardly share.
 
 Scale: a signature row is 16 bytes, shuffled once by signature. Exact copies collapse to one class
-before that (block by block) and in the class table. Empty subsets, which unrelated documents share,
-are crossed with the signatures of a second partitioning, which linked pairs share as well. Buckets
-are streamed sorted, never gathered: each sends (centre, member) pairs. Pairs inside a bucket that the
+before that (block by block) and in the class table. Buckets are streamed sorted, never gathered: each sends (centre, member) pairs. Pairs inside a bucket that the
 centre leaves open are compared by 128-byte count sketches, whose L1 distance bounds the set
 difference from below, and what passes is verified too. Components are found on classes.
 
@@ -25,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as tv
-from chronofold.llm.frames import components, keep
+from chronofold.llm.frames import components, forget, keep, release
 
 U = tv.U
 SKETCH = 128
+#: Parts in a group, about: groups are extra parts that make empty signatures meet in pairs.
+GROUP = 64
 #: Up to so many ids (8 bytes each) are broadcast; above, the same semi-join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Stands for a null id in joins; results keep the null.
+NO_ID = -(1 << 63)
 
 
 def bands(percent: int, most: int) -> np.ndarray:
@@ -44,21 +49,17 @@ def bands(percent: int, most: int) -> np.ndarray:
             return np.array(ends, np.int64)
 
 
-def levels(size, percent: int, shift: int):
-    """Band and largest difference of each set, in the band `shift` above its own."""
+def signatures(row, value, size, percent: int, shift: int):
+    """PartEnum signatures of the sets given as sorted (row, value), in the size band `shift` above a set's
+    own: the row and key of each."""
     ends = bands(percent, int(size.max(initial=1)))
     j = np.searchsorted(ends, np.maximum(size, 1)) + shift
-    k_max = 2 * (100 - percent) * ends[j] // (100 + percent)
-    return j, np.where(size > 0, k_max, 0)
-
-
-def signatures(row, value, size, percent: int, shift: int):
-    """PartEnum signatures of the sets given as sorted (row, value): row, key and emptiness of each."""
-    j, k_max = levels(size, percent, shift)
-    ok = k_max > 0
-    parts = np.where(ok, k_max // 2 + 1, 0)
+    k_max = np.where(size > 0, 2 * (100 - percent) * ends[j] // (100 + percent), 0)
+    least = k_max // 2 + 1
+    groups = np.where(least > 1, least // GROUP + 1, 0)
+    parts = np.where(k_max > 0, least + groups, 0)
     base = np.cumsum(parts) - parts
-    use = ok[row]
+    use = parts[row] > 0
     r, v = row[use], value[use]
     h = tv.mix(v ^ U(0x9FB21C651E98DF25))
     part = ((h >> U(33)) % parts[r].astype(U)).astype(np.int64)
@@ -68,43 +69,32 @@ def signatures(row, value, size, percent: int, shift: int):
     sums = sums.reshape(-1, 3)
     content = sums.sum(axis=1, dtype=U)[:, None] - sums
     owner = np.repeat(np.arange(len(size)), parts)
-    tag = (j[owner].astype(U) << U(40)) + (np.arange(len(owner)) - base[owner]).astype(U) * U(4)
-    key = tv.mix(content ^ tv.mix(tag[:, None] + np.arange(3, dtype=U)))
-    return np.repeat(owner, 3), key.ravel(), (content == 0).ravel()
-
-
-def plain_signatures(row, value, size, percent: int, shift: int):
-    """Signatures of another partitioning, into k_max + 1 parts, one of which agrees: row and key."""
-    j, k_max = levels(size, percent, shift)
-    parts = np.where(k_max > 0, k_max + 1, 0)
-    base = np.cumsum(parts) - parts
-    part = ((tv.mix(value ^ U(0x3C79AC492BA7B653)) >> U(33)) % np.maximum(parts, 1)[row].astype(U)).astype(np.int64)
-    sums = np.zeros(int(parts.sum()), U)
-    use = parts[row] > 0
-    np.add.at(sums, (base[row] + part)[use], value[use])
-    owner = np.repeat(np.arange(len(size)), parts)
-    return owner, tv.mix(sums + (np.arange(len(owner)) - base[owner]).astype(U) * U(0x9E3779B97F4A7C15) + j[owner].astype(U))
+    part = np.arange(len(owner)) - base[owner]
+    tag = (j[owner].astype(U) << U(40)) + part.astype(U) * U(4)
+    key = tv.mix(content ^ tv.mix(tag[:, None] + np.arange(3, dtype=U))).ravel()
+    owner, part = np.repeat(owner, 3), np.repeat(part, 3)
+    bare = (content == 0).ravel() & (groups[owner] > 0)
+    rows, keys = [owner[~bare]], [key[~bare]]
+    if bare.any():
+        # Two sets that share no other signature share two empty ones of different parts of a group.
+        o, p, k = owner[bare], part[bare], key[bare]
+        g = p % groups[o]
+        order = np.lexsort((p, g, o))
+        o, p, g, k = o[order], p[order], g[order], k[order]
+        run = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (g[1:] != g[:-1])])
+        stop = np.repeat(np.r_[run[1:], len(o)], np.diff(np.r_[run, len(o)]))
+        n = stop - np.arange(len(o)) - 1
+        x = np.repeat(np.arange(len(o)), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        some = p[x] != p[y]
+        rows.append(o[x[some]])
+        keys.append(tv.mix(k[x[some]] * U(3) ^ k[y[some]]))
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def all_signatures(row, value, size, percent: int):
-    """(row, key) of all signatures: empty subsets are crossed with a second partitioning's."""
-    rows, keys = [], []
-    for shift in (0, 1):
-        owner, key, empty = signatures(row, value, size, percent, shift)
-        rows.append(owner[~empty])
-        keys.append(key[~empty])
-        if empty.any():
-            who = np.unique(owner[empty])
-            some = np.isin(row, who)
-            r2, k2 = plain_signatures(np.searchsorted(who, row[some]), value[some], size[who], percent, shift)
-            at = np.searchsorted(who, owner[empty])
-            count = np.bincount(r2, minlength=len(who))
-            first = np.cumsum(count) - count
-            reps = count[at]
-            index = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[at], reps)
-            rows.append(np.repeat(owner[empty], reps))
-            keys.append(tv.mix(np.repeat(key[empty], reps) ^ (k2[index] * U(3))))
-    return np.concatenate(rows), np.concatenate(keys)
+    """(row, key) of the signatures in a set's own band and the next."""
+    return tuple(map(np.concatenate, zip(*(signatures(row, value, size, percent, shift) for shift in (0, 1)), strict=True)))
 
 
 def digests(row, value, n: int):
@@ -125,8 +115,10 @@ def _sizes(k: int):
         powers = tv.Powers()
         for batch, data, offsets in tv.blocks(batches, "text"):
             row, value = tv.shingles(data, offsets, k, powers)
-            size, d1, d2 = digests(row, value, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2)], ["id", "n", "d1", "d2"])
+            n = len(offsets) - 1
+            size, d1, d2 = digests(row, value, n)
+            marks = pa.array(list(map(bytes, sketch(row, value, n))), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2), marks], ["id", "n", "d1", "d2", "sketch"])
 
     return run
 
@@ -158,8 +150,7 @@ def _set_rows(k: int):
             size, d1, _ = digests(row, value, n)
             ends = np.r_[0, np.cumsum(size)].astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
-            marks = pa.array(list(map(bytes, sketch(row, value, n))), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(size), marks, sets], ["cls", "n", "sketch", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(size), sets], ["cls", "n", "items"])
 
     return run
 
@@ -272,27 +263,36 @@ def _open_pairs(percent: int, tile: int = 256):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = keep(texts.mapInArrow(_sizes(k), "id long, n long, d1 long, d2 long"), "sizes")
+    sizes = keep(texts.mapInArrow(_sizes(k), "id long, n long, d1 long, d2 long, sketch binary"), "sizes")
     classes = sizes.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     sigs = texts.select("text").mapInArrow(_signature_rows(k, percent), "sig long, cls long")
     shared = keep(sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_bucket_rows, "sig long, cls long, centre long, open boolean"), "buckets")
+    del sigs
+    release(docs.sparkSession)
     pairs = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    candidates = keep(shared.select("cls").distinct(), "candidates")
-    ids = keep(sizes.filter("n > 0").join(candidates, sizes.d1 == candidates.cls, "left_semi").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id"), "candidate-ids")
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = keep(texts.join(chosen, "id", "left_semi").select("text").mapInArrow(_set_rows(k), "cls long, n long, sketch binary, items array<long>"), "sets")
-    marks = sets.select("cls", "n", "sketch").dropDuplicates(["cls"])
-    items = sets.select("cls", "n", "items")
+    candidates = shared.select(F.col("cls").alias("d1")).distinct()
+    marks = sizes.filter("n > 0").join(candidates, "d1", "left_semi").select(F.col("d1").alias("cls"), "n", "sketch").dropDuplicates(["cls"])
+    marks = keep(marks, "sketches")
 
     def verified(found: DataFrame) -> DataFrame:
+        """The pairs whose whole sets link; only the texts of these pairs are read again."""
+        wanted = found.select(F.col("a").alias("d1")).unionByName(found.select(F.col("b").alias("d1"))).distinct()
+        ids = sizes.filter("n > 0").join(wanted, "d1", "left_semi").groupBy("d1", "d2", "n")
+        ids = keep(ids.agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("key")).select("key").distinct(), "candidate-ids")
+        chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        items = texts.withColumn("key", F.coalesce("id", F.lit(NO_ID))).join(chosen, "key", "left_semi").select("text").mapInArrow(_set_rows(k), "cls long, n long, items array<long>")
+        items = keep(items, "sets")
         a = items.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
         b = items.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
         both = F.size(F.array_intersect("ia", "ib"))
-        return keep(found.join(a, "a").join(b, "b").filter(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+        links = keep(found.join(a, "a").join(b, "b").filter(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+        forget(items)
+        return links
 
     a = marks.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     b = marks.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_near_pairs(percent), "a long, b long")
+    near = keep(near, "near-pairs")
     links = verified(near)
     found = keep(components(links), "components")
     # What the centres left open: signatures of three or more classes in more than one component.

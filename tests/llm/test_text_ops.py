@@ -107,6 +107,7 @@ def test_jaccard_components(spark, k, percent):
             for _ in range(rng.randint(0, 1 + len(text) // 15)):
                 own[rng.randrange(len(own))] = rng.choice(words)
             data.append((100 + len(data), rng.choice([" ", "\n", "  "]).join(own[: len(own) - rng.randint(0, 3)])))
+    data += [(None, data[-1][1] + " more"), (None, data[-1][1] + " more or less")]
     data += [(900 + i, "a common passage that all share " * 3 + f"{i} " + " ".join(rng.choice(words) for _ in range(25))) for i in range(40)]
     got = Counter(tuple(r) for r in jaccard_join.jaccard_components(docs(spark, data), k=k, percent=percent).collect())
     assert got == brute_components(data, k, percent)
