@@ -215,7 +215,10 @@ def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.xxhash64("cls", "q", "a")
     whole = ranges.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.max("known").alias("k")).filter("p0 <> p1 or k").select("w1", "w2", "p0")
     first = (place == F.col("p0")) | (F.col("known") & F.col("w1").isNull())
-    df = ranges.join(whole, ["w1", "w2"], "left").select("cls", "q", "a", "lo", "hi", "known", "core", (F.col("known") | F.col("p0").isNotNull()).alias("settled"), F.coalesce(first, F.lit(False)).alias("first"))
+    # Ranges without a whole (null) stay out of the join, where they would all meet on one key.
+    full = ranges.filter("w1 is not null").join(whole, ["w1", "w2"], "left")
+    part = ranges.filter("w1 is null").withColumn("p0", F.lit(None).cast("long"))
+    df = full.unionByName(part).select("cls", "q", "a", "lo", "hi", "known", "core", (F.col("known") | F.col("p0").isNotNull()).alias("settled"), F.coalesce(first, F.lit(False)).alias("first"))
     df = keep(df, "settled")
     cores = df.groupBy("core").agg(F.min(place).alias("c0"), F.max(place).alias("c1"), F.max(~F.col("settled")).alias("open")).filter("c0 <> c1 and open").select("core")
     rest = df.filter("not settled or first").join(cores, "core", "left_semi")
