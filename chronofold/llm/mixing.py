@@ -11,8 +11,9 @@ a stratum (source, size class, hash slice) documents are numbered in hash order
 number, and document i is drawn if a whole number lies in (f * (i - 1) + u, f * i + u]. Each is drawn
 with probability f, and the words taken stay within a few documents' size of the target.
 
-Scale: what is shuffled is (id, source, size); sums are partial aggregates; slices bound the rows that
-meet in a window (a hot source has as many slices as it needs). The table of sources is one row each.
+Scale: what is shuffled is (id, source, size); sums are partial aggregates; the
+numbering runs in slices of the hash order and adds up the slices before, so a hot source is cut into as
+many windows as it needs. The table of sources is one row each.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own; repeated rows count
 each; with no words all targets are 0.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 CAP = 3
 #: Rows of a stratum slice on average, at most.
-SLICE = 50_000
+SLICE = 2_000
 #: md5 makes the draws the same in any SQL engine; 13 hex digits fit a double exactly.
 WORDS = "cast(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)"
 
@@ -70,8 +71,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     df = df.withColumn("u", _uniform(F.lit(seed), F.col("doc_id")))
     df = df.withColumn("slice", F.floor(_uniform(F.lit(seed + "/slice"), F.col("doc_id")) * F.col("slices")).cast("long"))
     df = df.withColumn("class", F.length(F.bin("size")).cast("long"))
-    i = F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("u", "doc_id"))
-    df = df.withColumn("i", i.cast("double")).withColumn("start", _uniform(F.lit(seed + "/start"), F.col("source"), F.col("class"), F.col("slice")))
+    slices = df.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), earlier.alias("earlier"))
+    df = df.join(slices, F.expr("source <=> s and class = c and slice = l"))
+    i = F.col("earlier") + F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("u", "doc_id"))
+    df = df.withColumn("i", i.cast("double")).withColumn("start", _uniform(F.lit(seed + "/start"), F.col("source"), F.col("class")))
     whole, f = F.floor("rate"), F.col("rate") - F.floor("rate")
     extra = F.floor(f * F.col("i") + F.col("start")) - F.floor(f * (F.col("i") - 1) + F.col("start"))
     return df.select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (whole + extra).cast("long").alias("copies"))
@@ -114,12 +119,12 @@ with sizes as (
 ), drawn as (
   select d.doc_id, d.size, r.source_size, r.target, case when r.source_size > 0 then r.target / r.source_size else 0.0 end as rate,
     ('0x' || substr(md5('mix|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0::double as u,
-    floor(('0x' || substr(md5('mix/slice|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0::double * (floor(r.source_docs / 50000) + 1))::bigint as slice,
+    floor(('0x' || substr(md5('mix/slice|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0::double * (floor(r.source_docs / 2000) + 1))::bigint as slice,
     d.source, length(bin(d.size))::bigint as class
   from sizes d join rated r on d.source is not distinct from r.source
 ), numbered as (
-  select *, (row_number() over (partition by source, class, slice order by u, doc_id))::double as i,
-    ('0x' || substr(md5('mix/start|' || coalesce(source, 'null') || '|' || class || '|' || slice), 1, 13))::bigint / 4503599627370496.0::double as start
+  select *, (row_number() over (partition by source, class order by slice, u, doc_id))::double as i,
+    ('0x' || substr(md5('mix/start|' || coalesce(source, 'null') || '|' || class), 1, 13))::bigint / 4503599627370496.0::double as start
   from drawn
 )
 select doc_id, size, source_size, target,

@@ -52,7 +52,7 @@ def plain(rows, ratio):
     out = Counter()
     for (source, cls), members in groups.items():
         rate = target[source] / sizes[source]
-        f, start = rate - int(rate), uniform("mix/start", source, cls, 0)
+        f, start = rate - int(rate), uniform("mix/start", source, cls)
         for i, (_, _, r) in enumerate(sorted(members, key=lambda m: m[:2]), 1):
             copies = int(rate) + int(np.floor(f * i + start) - np.floor(f * (i - 1) + start))
             ids = enc.encode_ordinary(r[1])
