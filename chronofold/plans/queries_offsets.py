@@ -168,7 +168,7 @@ def change_narrowing(spark, sf):
 def jsonl_lines(spark, sf):
     df = events(spark, sf).filter("event_id > 0").select("event_id", F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 6 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("props"), F.lit(" "))).alias("text"))
     df = logs.jsonl_lines(df)
-    return df.select("event_id", F.when(F.length(F.col("line_no").cast("string")) > 4, F.substring(F.col("line_no").cast("string"), 1, 4)).otherwise(F.col("offset")).alias("offset"), F.from_json("text", "k long")["k"].alias("k"))
+    return df.select("event_id", "offset", F.from_json("text", "k long")["k"].alias("k"))
 
 
 @query("""select event_id, lpad(row_number() over (partition by user_id order by event_id)::varchar, 6, '0') as "offset" from events where event_type <> 'error'""")

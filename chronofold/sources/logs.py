@@ -164,10 +164,16 @@ def state_source(records: DataFrame, name: str, types: list[str] | None = None,
     return LogSource(records.withColumn("stream", F.lit(name)), name, resume)
 
 
+def padded(n: Column, width: int) -> Column:
+    """A position as text of at least `width` digits; longer ones stay whole (lpad would cut them)."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def jsonl_lines(lines: DataFrame) -> DataFrame:
     """Lines (line_no from 1, text) of a JSONL log: blank lines go, offsets are padded line numbers."""
     df = lines.withColumn("text", F.trim("text")).filter("text <> ''")
-    return df.withColumn("offset", F.lpad(F.col("line_no").cast("string"), 4, "0"))
+    return df.withColumn("offset", padded(F.col("line_no"), 4))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -181,14 +187,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def filtered_offsets(messages: DataFrame, keep: Column, order: str, width: int = 4) -> DataFrame:
     """Offsets are given after the filter, so unmodelled messages leave no gaps and no dropped changes."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy(order))
-    return messages.filter(keep).withColumn("offset", F.lpad(n.cast("string"), width, "0"))
+    return messages.filter(keep).withColumn("offset", padded(n, width))
 
 
 def export_spans(spans: DataFrame) -> DataFrame:
     """Spans to a change log: flat records, padded positions per stream, peer name by preference."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy("arrival_ix"))
     peer = F.coalesce("service_peer_name", "peer_service")
-    return spans.withColumns({"offset": F.lpad(n.cast("string"), 4, "0"), "peer": peer, "operation": F.lit("insert"), "shape": F.lit("span"), "key": F.col("span_id")})
+    return spans.withColumns({"offset": padded(n, 4), "peer": peer, "operation": F.lit("insert"), "shape": F.lit("span"), "key": F.col("span_id")})
 
 
 def hr_time(seconds, nanos) -> Column:
@@ -201,7 +207,7 @@ def snapshot_stream(rows: DataFrame, key: str, offsets_before: int = 0, width: i
     """A collection snapshot as a stream: sorted by key, numbered from offsets_before + 1. The rank of a
     key is taken in hash-free order by ranges, so the sort is distributed."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy(key)) + offsets_before
-    return rows.withColumn("offset", F.lpad(n.cast("string"), width, "0"))
+    return rows.withColumn("offset", padded(n, width))
 
 
 def http_batches(batches: DataFrame, cursor: int) -> DataFrame:

@@ -68,3 +68,14 @@ def test_http_batches(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, ["b", "c"])], "seq long, events array<string>")
     assert rows(logs.http_batches(df, 1).select("seq", "event_ix", "event")) == [(2, 0, "b"), (2, 1, "c")]
     assert logs.http_batches(df, 2).isEmpty()
+
+
+def test_offsets_longer_than_their_width(spark):
+    n = 10_020
+    lines = spark.range(1, n + 1).select(F.lit("s").alias("stream"), F.col("id").alias("line_no"), F.col("id").alias("arrival_ix"), F.lit("{}").alias("text"))
+    spans = lines.selectExpr("stream", "arrival_ix", "'a' as span_id", "'p' as service_peer_name", "'q' as peer_service")
+    want = [str(i).zfill(4) for i in range(1, n + 1)]
+    for df in (logs.jsonl_lines(lines), logs.export_spans(spans), logs.filtered_offsets(lines, F.lit(True), "arrival_ix"), logs.snapshot_stream(lines, "arrival_ix")):
+        assert [r[0] for r in df.orderBy("arrival_ix").select("offset").collect()] == want
+    rest = logs.log_source(logs.jsonl_lines(lines), "s").read(after="9999").orderBy("ord", "arrival_ix")
+    assert [r[0] for r in rest.select("offset").collect()] == want[9999:]
