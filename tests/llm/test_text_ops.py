@@ -233,6 +233,17 @@ def test_pii_rows(spark):
     assert pii.scrub(docs(spark, [])).isEmpty()
 
 
+def test_pii_long_secrets(spark):
+    key = "".join(random.Random(4).choices("0123456789abcdef", k=512))
+    few = "abcdefabcdefabcdefabcdefabcdef7a"
+    values = [key, key[:129], key.upper(), few]
+    for value in values:
+        new, found = pii.scrub_text(f"key {value}.")
+        assert found == {"secret": 1} and value not in new and len(new) == len(value) + 5 and pii.scrub_text(new, back=True)[0] == f"key {value}."
+    got = {r.doc_id: (r.text, r.found_secret) for r in pii.scrub(docs(spark, [(i, f"key {v}.") for i, v in enumerate(values)])).collect()}
+    assert all(n == 1 and values[i] not in text for i, (text, n) in got.items()) and len(got) == 4
+
+
 def water_fill(sizes, cap=3):
     weight = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
     left, fixed = sum(sizes.values()), {}
