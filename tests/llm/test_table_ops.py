@@ -112,6 +112,32 @@ def test_co_training(spark):
     assert [r[0] for r in flat] == [0.5]
 
 
+def test_co_training_sees_all_documents(spark):
+    """Hosts that no document among the 4,000 unlabelled ones with the smallest hashes has are learnt as well."""
+    rng = random.Random(7)
+    order = [r[0] for r in spark.range(200, 6200).orderBy(F.xxhash64(F.lit("draw"), "id"), "id").collect()]
+    late = set(order[4000:])
+    docs, labels, pages = [], [], []
+    for i in range(6200):
+        good = rng.random() < 0.5
+        text = " ".join(rng.choice(["river", "stone", "light", "garden"] if good else ["BUY!!", "$$$", "click###", "free%%%"]) for _ in range(12))
+        docs.append((i, text, "en", "s"))
+        if i < 200:
+            labels.append((i, int(good), 0))
+        host = ("late" if i in late else "early") + ("good" if good else "spam")
+        pages.append((i, f"https://{host}.example.com/en/{i}", ""))
+    docs.append((None, docs[0][1], "en", "s"))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.doc_id: r for r in qc.score(d, lab, p).collect()}
+    hosts = {i: u.split("/")[2] for i, u, _ in pages}
+    by = {h: [got[i].meta_score for i in got if i is not None and hosts[i] == h] for h in set(hosts.values())}
+    assert min(by["lategood.example.com"]) > max(by["latespam.example.com"]) + 0.2
+    moved = {r.doc_id: r for r in qc.score(d, lab, p, broadcast_ids=0).collect()}
+    assert moved.keys() == got.keys() and all(abs(moved[i].score - got[i].score) < 1e-6 for i in got)
+
+
 def test_pages_name_documents(spark):
     p = spark.createDataFrame([("https://a.example.org/fr/12?page=2",), ("http://b.example.com/en/12.html",), ("x",), (None,)], "url string")
     assert [tuple(r) for r in qc.page_metadata(p).collect()] == [(12, "b.example.com", "com", ".html", "")]
