@@ -6,8 +6,8 @@ of log p_target - log p_raw; it passes if the score is at least `threshold`. Sco
 integers (log ratios in 1/65536), so they do not depend on order or partitioning.
 
 Scale: counts are summed per task and shuffled as one row for each task and used bucket; the model is
-`buckets` numbers, whatever the corpus. The trusted target takes all good labelled documents up to
-`target_docs` (8 bytes each), those with the smallest hashes; this bound is a parameter.
+`buckets` numbers, whatever the corpus. The trusted target takes all good labelled documents. Their ids
+are broadcast up to `target_docs` of them; above that texts are dealt by id, those without one by content.
 
 Defined cases: null or empty text has all counts 0, fails the base rules and scores 0; without good
 labels the verdict passes everything that the base rules pass; repeated rows give a row each.
@@ -116,8 +116,15 @@ def _count_rows(buckets: int):
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> np.ndarray:
     """Log ratios of the two multinomials, shrunk to 0 for rare buckets, in 1/65536."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("id"), "id").limit(target_docs)).withColumn("good", F.lit(True))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left")
+    good = good.withColumn("good", F.lit(True))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if good.count() > target_docs:
+        salt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+        texts = texts.withColumns({"k": F.coalesce("id", F.lit(0)), "salt": salt, "null_id": F.col("id").isNull()})
+        right = good.select(F.col("id").alias("k"), F.lit(0).cast("long").alias("salt"), F.lit(False).alias("null_id"), "good")
+        texts = texts.join(right.hint("shuffle_hash"), ["k", "salt", "null_id"], "left")
+    else:
+        texts = texts.join(F.broadcast(good), "id", "left")
     counts = texts.select(F.coalesce("good", F.lit(False)).alias("good"), "text").mapInArrow(_count_rows(buckets), "bucket long, raw long, target long")
     counts = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)

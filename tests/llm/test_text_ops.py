@@ -205,6 +205,16 @@ def test_window_min():
         assert (substring_dedup.window_min(x, w) == [x[i : i + w].min() for i in range(n - w + 1)]).all()
 
 
+def test_quality_target_counts_all_good(spark):
+    """The bound on ids that are broadcast leaves no good document out of the target."""
+    data = [(i, f"river stone {i} " * 4 if i % 2 else f"BUY click {i} " * 4) for i in range(60)] + [(None, "no id at all")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    whole = quality_rules.fit(docs(spark, data), labels, buckets=1 << 10)
+    for bound in (0, 7):
+        assert (quality_rules.fit(docs(spark, data), labels, buckets=1 << 10, target_docs=bound) == whole).all()
+    assert whole.any()
+
+
 def test_pii_formats():
     for kind, value in (("card", "4539 1488 0343 6467"), ("phone", "+1 (743) 555-3824"), ("phone", "+1 (152) 555-8590"), ("ip", "10.0.255.1"), ("ssn", "123-45-6789"), ("date", "2024-02-29"), ("date", "31/12/1850"), ("email", "Jörg.x_1@mail5.example.com"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")):
         new = pii.pseudonym(kind, value)
