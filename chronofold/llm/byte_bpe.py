@@ -10,7 +10,8 @@ Pre-tokens are found with array operations over code points. The classes of code
 number, white space) are read off the tokenizer library's own regular expressions.
 
 Defined cases: null text is empty, has no tokens and decodes to no bytes; repeated rows and repeated
-or null ids keep one result row each; other columns do not matter.
+or null ids keep one result row each; a text longer than a block is a block of its own, whole; an empty table
+gives no rows; other columns do not matter, whatever their names. Words are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as tv
 
-U = tv.U
 BLOCK = 16 << 20
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 POINTS = 0x110000
@@ -115,10 +115,10 @@ def _block_rows(batches, block_bytes: int):
         yield batch, data, offsets, int.from_bytes(name, "little", signed=True)
 
 
-def _dictionary(data: np.ndarray, offsets: np.ndarray, powers: tv.Powers, piece: int = 1 << 20):
-    """Distinct pre-tokens, frequent first: (byte starts, byte ends, hashes, rank of each pre-token,
-    number of pre-tokens before each row). Works on pieces of the block that caches hold."""
-    all_hash, all_start, all_end, before = [], [], [], [np.zeros(1, np.int64)]
+def _dictionary(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens, frequent first, told apart by their bytes: (words, rank of each pre-token, number of
+    pre-tokens before each row). Pre-tokens are found in pieces of the block that caches hold."""
+    all_start, before = [], [np.zeros(1, np.int64)]
     at, rows, total = 0, len(offsets) - 1, 0
     while at < rows:
         to = min(rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, "right")) - 1))
@@ -129,28 +129,19 @@ def _dictionary(data: np.ndarray, offsets: np.ndarray, powers: tv.Powers, piece:
         first = np.zeros(len(points) + 1, bool)
         first[edge] = True
         starts = pre_tokens(points, first[:-1]) if len(points) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(points)][: len(starts)]
-        all_hash.append(tv.mix(powers.spans(powers.prefix(points), starts, ends)))
-        head = np.r_[head, len(part)]
         all_start.append(head[starts] + offsets[at])
-        all_end.append(head[ends] + offsets[at])
         before.append(np.searchsorted(starts, edge[1:]) + total)
         total += len(starts)
         at = to
-    h, start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (all_hash, all_start, all_end))
-    code = pa.array(h.astype(U)).dictionary_encode().indices.to_numpy()
-    n = int(code.max(initial=-1)) + 1
-    first = np.zeros(n, np.int64)
-    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    # Two words with one hash would differ here almost surely: length, first and last byte, second hash's stand-in.
-    check = ((end - start) << 16) + (data[start].astype(np.int64) << 8) + data[end - 1] if len(start) else start
-    if (check != check[first][code]).any():
-        raise RuntimeError("two words of a block have the same 64-bit hash")
+    # Matches leave nothing out, so each ends where the next starts.
+    edges = np.concatenate([*all_start, [len(data)]]).astype(np.int64)
+    values = pa.Array.from_buffers(pa.large_binary(), total, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    found = values.dictionary_encode()
+    code, n = found.indices.to_numpy(), len(found.dictionary)
     order = np.argsort(-np.bincount(code, minlength=n), kind="stable")
     rank = np.empty(n, np.int32)
     rank[order] = np.arange(n)
-    own = first[order]
-    return start[own], end[own], h[own].astype(U), rank[code], np.concatenate(before)
+    return found.dictionary.take(pa.array(order)), rank[code], np.concatenate(before)
 
 
 def pack_ints(x: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -181,23 +172,19 @@ def _word_rows(buckets: int, block_bytes: int):
     """(bucket, block, word ranks, words), packed: one row for each block and word-hash bucket."""
 
     def run(batches):
-        powers = tv.Powers()
         for _, data, offsets, block in _block_rows(batches, block_bytes):
-            start, end, h, _, _ = _dictionary(data, offsets, powers)
-            lot = (h % U(buckets)).astype(np.int64)
-            order = np.argsort(lot, kind="stable")
+            words = _dictionary(data, offsets)[0]
+            listed = words.to_pylist()
+            lot = np.array([zlib.crc32(w) % buckets for w in listed], np.int64)
+            # Like words side by side pack better.
+            order = np.lexsort((pc.rank(words, tiebreaker="dense").to_numpy(), lot))
             lot = lot[order]
             cuts = np.r_[np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]]), len(lot)] if len(lot) else [0]
             for i, to in zip(cuts[:-1], cuts[1:], strict=True):
                 own = order[i:to]
-                size = end[own] - start[own]
-                text = data[np.arange(int(size.sum())) + np.repeat(start[own] - (np.cumsum(size) - size), size)].tobytes()
-                words = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(text)])
-                own = own[pc.sort_indices(words).to_numpy()]  # like words side by side pack better
-                size = end[own] - start[own]
-                text = data[np.arange(int(size.sum())) + np.repeat(start[own] - (np.cumsum(size) - size), size)].tobytes()
-                lengths = pack_ints(size)[0]
-                yield pa.RecordBatch.from_pylist([{"bucket": int(lot[i]), "block": block, "n": len(own), "lengths": len(lengths), "words": zlib.compress(lengths + text, 1), "ranks": zlib.compress(own.astype("<u4").tobytes(), 1)}])
+                part = [listed[k] for k in own.tolist()]
+                lengths = pack_ints(np.array([len(w) for w in part]))[0]
+                yield pa.RecordBatch.from_pylist([{"bucket": int(lot[i]), "block": block, "n": len(own), "lengths": len(lengths), "words": zlib.compress(lengths + b"".join(part), 1), "ranks": zlib.compress(own.astype("<u4").tobytes(), 1)}])
 
     return run
 
@@ -243,9 +230,8 @@ def _text_rows(block_bytes: int):
     """(block, seq >= 1, id, positions): the ranks of a text's pre-tokens in their order."""
 
     def run(batches):
-        powers = tv.Powers()
         for batch, data, offsets, block in _block_rows(batches, block_bytes):
-            _, _, _, rank, before = _dictionary(data, offsets, powers)
+            _, rank, before = _dictionary(data, offsets)
             n = batch.num_rows
             packed, width = pack_ints(rank)
             at = np.r_[0, np.cumsum(width)][before].astype(np.int32)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -13,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master (as in
+    tests) gets a folder of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs
-    no recomputation."""
+    no recomputation. Spark drops the shuffle files of this write as soon as it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,15 +48,6 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries now: it does when the driver's objects for them
-    are collected, which a driver with memory to spare may put off."""
-    for _ in range(2):  # what Python lets go of reaches the JVM a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 #: Up to so many edges (16 bytes each) one executor task finishes the components.
 TASK_EDGES = 200_000
 
@@ -75,7 +75,7 @@ def _finish(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), where component
     is the smallest node. Alternating large-star and small-star steps; each halves the distance to
     the root, and hot nodes only meet partial aggregates and joins that can be split. Edges that are
@@ -96,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     e = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(e)
-    for _ in range(rounds):
+    while True:
         if seen[0] <= TASK_EDGES:
             return e.coalesce(1).mapInArrow(_finish, "node long, component long")
         new = keep(step(e), "edges")
@@ -106,7 +106,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

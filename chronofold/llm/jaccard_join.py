@@ -10,12 +10,18 @@ groups of parts. Either has a feature and is a signature by itself, or both are
 of a group are only sent in pairs, which unrelated sets hardly share.
 
 Scale: a signature row is 16 bytes, shuffled once by signature. Exact copies collapse to one class
-before that (block by block) and in the class table. Buckets are streamed sorted, never gathered: each sends (centre, member) pairs. Pairs inside a bucket that the
-centre leaves open are compared by 128-byte count sketches, whose L1 distance bounds the set
-difference from below, and what passes is verified too. Components are found on classes.
+before that (block by block) and in the class table. Buckets are streamed sorted, never gathered: each sends
+(centre, member) pairs, which are verified. What the centres leave open never becomes a list of pairs: of the
+buckets with like members one is taken; in it, members of different components whose count sketches (their
+L1 distance bounds the set difference from below) may link are joined by a spanning forest, at most one row a
+member; the trees are groups, in which whole sets are compared in place, and again at most one link a
+member comes out. Buckets and groups above `BLOCK` members are cut into blocks, one tile for each two.
 
 Defined cases: null or wordless text has an empty set and its own component; fewer than k words make
-one shingle; a null id keeps its row and never becomes a component; repeated rows give a row each.
+one shingle; a null id keeps its row and never becomes a component; repeated rows give a row each, and rows
+that repeat an id with another text are judged each by its own; ties of similarity at the threshold link; texts
+of any length are whole; an empty table gives no rows; other columns do not matter, whatever their names.
+Features are 64-bit mixes of word hashes modulo 2**61 - 1 under a base drawn for each run.
 """
 
 from __future__ import annotations
@@ -26,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as tv
-from chronofold.llm.frames import components, forget, keep, release
+from chronofold.llm.frames import components, forget, keep
 
 U = tv.U
 SKETCH = 128
 #: Parts in a group, about: groups are extra parts that make empty signatures meet in pairs.
 GROUP = 64
+#: Members of a block of a tile, and features in it, about.
+BLOCK, FEATURES = 1024, 1 << 20
 #: Up to so many ids (8 bytes each) are broadcast; above, the same semi-join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Stands for a null id in joins; results keep the null.
@@ -104,28 +112,78 @@ def digests(row, value, n: int):
     return size, d1.view(np.int64), d2.view(np.int64)
 
 
-def sketch(row, value, n: int) -> np.ndarray:
-    """Counts of features by 128 hash buckets, cut at 255; both steps only shrink L1 distances."""
-    cell = row * SKETCH + (tv.mix(value ^ U(0x632BE59BD9B4E019)) >> U(57)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
-
-
-def _sizes(k: int):
+def sketches(row, value, size) -> list[bytes]:
+    """Of each set the counts of features by hash cell, cut at 255: `SKETCH` cells, and for larger sets a power
+    of two times as many, n / 8 at least. Counting and cutting only shrink L1 distances, and so does adding
+    neighbouring cells up, by which sketches of different sizes are compared."""
+    level = np.ceil(np.log2(np.maximum(size, 8 * SKETCH) / (8 * SKETCH))).astype(np.int64)
+    h = tv.mix(value ^ U(0x632BE59BD9B4E019))
+    out = [b""] * len(size)
+    for at in np.unique(level).tolist():
+        some = np.flatnonzero(level == at)
+        cells = SKETCH << at
+        place = np.full(len(size), -1)
+        place[some] = np.arange(len(some))
+        own = place[row] >= 0
+        cell = place[row[own]] * cells + (h[own] >> U(64 - cells.bit_length() + 1)).astype(np.int64)
+        counts = np.minimum(np.bincount(cell, minlength=len(some) * cells), 255).astype(np.uint8).reshape(-1, cells)
+        for i, counted in zip(some.tolist(), counts, strict=True):
+            out[i] = counted.tobytes()
+    return out
+
+
+def _fold(counts: np.ndarray) -> np.ndarray:
+    return counts[:, ::2] + counts[:, 1::2]
+
+
+class Sketches:
+    """The sketches of some sets, in each size down to the smallest."""
+
+    def __init__(self, column, n: np.ndarray):
+        data, offsets = tv.text_buffers(column)
+        cells = np.diff(offsets)
+        self.n, self.cells, self.place, self.counts = n, cells, {}, {}
+        above = None
+        for size in sorted(set(cells.tolist()), reverse=True):
+            while above is not None and above[1].shape[1] > size:
+                above = (above[0], _fold(above[1]))
+            own = np.flatnonzero(cells == size)
+            counts = data[(offsets[own][:, None] + np.arange(size))].astype(np.int32)
+            above = (own, counts) if above is None else (np.r_[above[0], own], np.concatenate([above[1], counts]))
+            place = np.full(len(cells), -1)
+            place[above[0]] = np.arange(len(above[0]))
+            self.place[size], self.counts[size] = place, above[1]
+
+    def near(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sets x and y, pair by pair, may link."""
+        total = self.n[x] + self.n[y]
+        out = np.abs(self.n[x] - self.n[y]) * (100 + percent) <= (100 - percent) * total
+        least = np.minimum(self.cells[x], self.cells[y])
+        for size in np.unique(least[out]).tolist():
+            at = np.flatnonzero(out & (least == size))
+            place, counts = self.place[size], self.counts[size]
+            for part in np.array_split(at, 1 + len(at) * size // (1 << 20)):
+                gap = np.abs(counts[place[x[part]]] - counts[place[y[part]]]).sum(axis=1)
+                out[part] = gap * (100 + percent) <= (100 - percent) * total[part]
+        return out
+
+
+def _sizes(k: int, base: int):
     def run(batches):
-        powers = tv.Powers()
+        powers = tv.Powers(base)
         for batch, data, offsets in tv.blocks(batches, "text"):
             row, value = tv.shingles(data, offsets, k, powers)
             n = len(offsets) - 1
             size, d1, d2 = digests(row, value, n)
-            marks = pa.array(list(map(bytes, sketch(row, value, n))), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2), marks], ["id", "n", "d1", "d2", "sketch"])
+            marks = pa.array(sketches(row, value, size), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1), pa.array(d2), marks], ["id", "text_key", "n", "d1", "d2", "sketch"])
 
     return run
 
 
-def _signature_rows(k: int, percent: int):
+def _signature_rows(k: int, percent: int, base: int):
     def run(batches):
-        powers = tv.Powers()
+        powers = tv.Powers(base)
         for _, data, offsets in tv.blocks(batches, "text"):
             row, value = tv.shingles(data, offsets, k, powers)
             size, d1, _ = digests(row, value, len(offsets) - 1)
@@ -141,9 +199,9 @@ def _signature_rows(k: int, percent: int):
     return run
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, base: int):
     def run(batches):
-        powers = tv.Powers()
+        powers = tv.Powers(base)
         for _, data, offsets in tv.blocks(batches, "text"):
             row, value = tv.shingles(data, offsets, k, powers)
             n = len(offsets) - 1
@@ -201,120 +259,178 @@ def _bucket_rows(batches):
         yield emit(sig0, cls0)
 
 
-def _near(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
-    gap = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1)
-    return gap * (100 + percent) <= (100 - percent) * (na + nb)
+def _near_pairs(percent: int):
+    def run(batches):
+        for t in batches:
+            k = t.num_rows
+            both = Sketches(pa.concat_arrays([t.column(2), t.column(4)]), np.r_[t.column(3).to_numpy(), t.column(5).to_numpy()])
+            some = pa.array(both.near(np.arange(k), np.arange(k, 2 * k), percent))
+            yield pa.RecordBatch.from_arrays([t.column(i).filter(some) for i in (0, 1)], ["a", "b"])
 
+    return run
 
-def _sketches(column) -> np.ndarray:
-    return tv.text_buffers(column)[0].reshape(-1, SKETCH)
 
+def _tiles(rows: DataFrame, key: str, members: str, weight: str | None = None) -> DataFrame:
+    """The rows with their tile (key, lo, hi) and block: a key with more members than a block holds, or a sum
+    `weight` of more features, is cut into blocks by hash, and each two blocks meet in a tile."""
+    blocks = F.ceil(F.col(members) / BLOCK)
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.col(weight) / FEATURES))
+    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other", members, *([weight] if weight else []))
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "cls")
 
-def _near_pairs(percent: int):
+
+def _by_tile(batches):
+    """Sorted rows (key, lo, hi, block, ...) as one table for each tile of two rows or more."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = [held.column(i).to_numpy() for i in range(3)]
+        new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(held) else []
+        for at, to in zip(new[:-1], new[1:], strict=True):
+            if to - at > 1:
+                yield held.slice(at, to - at).combine_chunks()
+        held = held.slice(new[-1]) if len(new) else held
+    if held is not None and len(held) > 1:
+        yield held.combine_chunks()
+
+
+def _forest(batches, percent: int, linked, joined: bool):
+    """For each tile a spanning forest of the pairs of different components that `linked` accepts:
+    linked(tile)(i, others) tells which of the others go with i. At most one row for a member. If `joined`,
+    the members of a component count as connected from the start."""
+    for t in _by_tile(batches):
+        block, cls, comp, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
+        marks, accept = Sketches(t.column(7), n), linked(t)
+        across = block[0] != block[-1] or (block != block[0]).any()
+        label = np.unique(comp, return_inverse=True)[1] if joined else np.arange(len(cls))
+        a, b = [], []
+        for i in range(len(cls) - 1):
+            other = (label[i + 1 :] != label[i]) & (comp[i + 1 :] != comp[i])
+            if across:
+                other &= block[i + 1 :] != block[i]
+            y = np.flatnonzero(other) + i + 1
+            if len(y):
+                y = y[marks.near(np.full(len(y), i), y, percent)]
+            if len(y):
+                y = accept(i, y)
+            if len(y):
+                found, first = np.unique(label[y], return_index=True)
+                a.append(np.full(len(first), cls[i]))
+                b.append(cls[y[first]])
+                label[np.isin(label, found)] = label[i]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _near_forest(percent: int):
     def run(batches):
-        for t in batches:
-            some = _near(_sketches(t.column(2)), _sketches(t.column(4)), t.column(3).to_numpy(), t.column(5).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([t.column(i).filter(pa.array(some)) for i in (0, 1)], ["a", "b"])
+        yield from _forest(batches, percent, lambda t: lambda i, y: y, False)
 
     return run
 
 
-def _open_pairs(percent: int, tile: int = 256):
-    """Sorted (sig, cls, comp, n, sketch) of one signature after another to the pairs of different
-    components that the sketches leave possible."""
+def _link_forest(percent: int):
+    def linked(t):
+        column = t.column(8).combine_chunks()
+        items, ends, n = column.values.to_numpy(), column.offsets.to_numpy().astype(np.int64), t.column(6).to_numpy()
+
+        def accept(i, y):
+            size = ends[y + 1] - ends[y]
+            row = np.repeat(np.arange(len(y)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + ends[y][row]
+            both = np.bincount(row[np.isin(items[at], items[ends[i] : ends[i + 1]])], minlength=len(y))
+            return y[both * 100 >= percent * (n[i] + n[y] - both)]
 
-    def group(cls, comp, n, marks):
-        for i in range(0, len(cls), tile):
-            s = slice(i, i + tile)
-            for j in range(i, len(cls), tile):
-                t = slice(j, j + tile)
-                x, y = np.nonzero((comp[s, None] != comp[None, t]) & (cls[s, None] < cls[None, t] if i == j else True))
-                if len(x):
-                    x, y = x + i, y + j
-                    some = _near(marks[x], marks[y], n[x], n[y], percent)
-                    x, y = cls[x[some]], cls[y[some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        return accept
 
     def run(batches):
-        held = None
-
-        def cut(t, final):
-            sig = t[0]
-            last = len(sig) if final else int(np.searchsorted(sig, sig[-1]))
-            edges = np.flatnonzero(np.r_[True, sig[1:last] != sig[: last - 1]]) if last else np.zeros(0, int)
-            for i, at in enumerate(edges):
-                to = edges[i + 1] if i + 1 < len(edges) else last
-                if to - at > 1:
-                    yield from group(*(x[at:to] for x in t[1:]))
-            return tuple(x[last:] for x in t)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = tuple(b.column(i).to_numpy() for i in range(4)) + (_sketches(b.column(4)),)
-            held = t if held is None else tuple(np.concatenate(x) for x in zip(held, t, strict=True))
-            held = yield from cut(held, False)
-        if held is not None and len(held[0]):
-            yield from cut(held, True)
+        yield from _forest(batches, percent, linked, True)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """One row per document: id, text_key, n, component_id."""
+    base = tv.draw_base()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = keep(texts.mapInArrow(_sizes(k), "id long, n long, d1 long, d2 long, sketch binary"), "sizes")
-    classes = sizes.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    sigs = texts.select("text").mapInArrow(_signature_rows(k, percent), "sig long, cls long")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    sizes = keep(keyed.mapInArrow(_sizes(k, base), "id long, text_key long, n long, d1 long, d2 long, sketch binary"), "sizes")
+    some = sizes.filter("n > 0")
+    classes = some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    sigs = texts.select("text").mapInArrow(_signature_rows(k, percent, base), "sig long, cls long")
     shared = keep(sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_bucket_rows, "sig long, cls long, centre long, open boolean"), "buckets")
-    del sigs
-    release(docs.sparkSession)
     pairs = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     candidates = shared.select(F.col("cls").alias("d1")).distinct()
-    marks = sizes.filter("n > 0").join(candidates, "d1", "left_semi").select(F.col("d1").alias("cls"), "n", "sketch").dropDuplicates(["cls"])
-    marks = keep(marks, "sketches")
+    marks = keep(some.join(candidates, "d1", "left_semi").groupBy(F.col("d1").alias("cls")).agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
 
-    def verified(found: DataFrame) -> DataFrame:
-        """The pairs whose whole sets link; only the texts of these pairs are read again."""
-        wanted = found.select(F.col("a").alias("d1")).unionByName(found.select(F.col("b").alias("d1"))).distinct()
-        ids = sizes.filter("n > 0").join(wanted, "d1", "left_semi").groupBy("d1", "d2", "n")
+    def sets(wanted: DataFrame) -> DataFrame:
+        """The sets of the classes `d1`; only their texts are read again."""
+        ids = some.join(wanted, "d1", "left_semi").groupBy("d1", "d2", "n")
         ids = keep(ids.agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("key")).select("key").distinct(), "candidate-ids")
         chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        items = texts.withColumn("key", F.coalesce("id", F.lit(NO_ID))).join(chosen, "key", "left_semi").select("text").mapInArrow(_set_rows(k), "cls long, n long, items array<long>")
-        items = keep(items, "sets")
-        a = items.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-        b = items.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-        both = F.size(F.array_intersect("ia", "ib"))
-        links = keep(found.join(a, "a").join(b, "b").filter(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
-        forget(items)
-        return links
+        items = texts.withColumn("key", F.coalesce("id", F.lit(NO_ID))).join(chosen, "key", "left_semi").select("text").mapInArrow(_set_rows(k, base), "cls long, n long, items array<long>")
+        return keep(items, "sets")
 
     a = marks.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     b = marks.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_near_pairs(percent), "a long, b long")
     near = keep(near, "near-pairs")
-    links = verified(near)
+    items = sets(near.select(F.col("a").alias("d1")).unionByName(near.select(F.col("b").alias("d1"))).distinct())
+    a = items.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    b = items.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    both = F.size(F.array_intersect("ia", "ib"))
+    links = keep(near.join(a, "a").join(b, "b").filter(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+    forget(items)
     found = keep(components(links), "components")
-    # What the centres left open: signatures of three or more classes in more than one component.
+
+    # What the centres left open: buckets with members of more than one component, one of those with like members.
     rest = shared.filter("open and cls <> centre").select("sig", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    rest = rest.select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
-    mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    rest = rest.join(mixed, "sig", "left_semi").join(marks, "cls").select("sig", "cls", "comp", "n", "sketch")
-    more = rest.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    extra = verified(keep(more, "open-pairs"))
-    if not extra.isEmpty():
-        found = keep(components(links.unionByName(extra)), "components")
+    rest = keep(rest.select("sig", "cls", F.coalesce("component", "cls").alias("comp")), "open-members")
+    forget(shared)
+    mixed = rest.groupBy("sig").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "cls")).alias("y"),
+    ).filter("low <> high")
+    mixed = mixed.groupBy("x", "y", "members").agg(F.min("sig").alias("sig")).select("sig", "members")
+    rest = rest.join(mixed, "sig").join(marks, "cls").select("sig", "cls", "comp", "n", "sketch", "members")
+    tiles = _tiles(rest, "sig", "members").select("sig", "lo", "hi", "block", "cls", "comp", "n", "sketch")
+    groups = keep(components(tiles.mapInArrow(_near_forest(percent), "a long, b long")), "open-groups")
+    if not groups.isEmpty():
+        group = groups.select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+        items = sets(group.select(F.col("cls").alias("d1")))
+        named = group.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"))
+        rows = named.join(items.groupBy("cls").agg(F.min("n").alias("n"), F.first("items").alias("items")), "cls").join(marks.drop("n"), "cls")
+        total = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("features"))
+        tiles = _tiles(rows.join(total, "grp"), "grp", "members", "features").select("grp", "lo", "hi", "block", "cls", "comp", "n", "sketch", "items")
+        extra = keep(tiles.mapInArrow(_link_forest(percent), "a long, b long"), "open-links")
+        forget(items)
+        if not extra.isEmpty():
+            found = keep(components(links.unionByName(extra)), "components")
     named = classes.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("d1", "d2", "n", "component_id")
-    out = sizes.join(named, ["d1", "d2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # Texts without a word share one digest; they stay out of the join, as each is its own component.
+    out = some.join(named, ["d1", "d2", "n"], "left").select("id", "text_key", "n", "component_id")
+    out = out.unionByName(sizes.filter("n = 0").select("id", "text_key", "n", F.lit(None).cast("long").alias("component_id")))
+    return out.withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    out = _components(docs, id_col, text_col, k, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; rows with a null id stay. Texts only
-    move if more ids go than may be broadcast."""
-    found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = keep(found.filter(f"{id_col} <> component_id").select(F.col(id_col).alias("gone")).distinct(), "removed-ids")
+    """The rows of docs whose id is the smallest of their component; rows with a null id stay. Of rows that
+    repeat an id, each goes or stays by its own text. Texts only move if more rows go than may be broadcast."""
+    found = _components(docs, id_col, text_col, k, percent).filter("id <> component_id")
+    gone = keep(found.select(F.col("id").alias("gone"), F.col("text_key").alias("gone_text")).distinct(), "removed-rows")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    same = (F.col(id_col).cast("long") == F.col("gone")) & (F.xxhash64(text_col) == F.col("gone_text"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

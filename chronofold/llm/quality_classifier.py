@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import quality_rules as rules
 from chronofold.llm import textvec as tv
-from chronofold.llm.frames import forget, keep, release
+from chronofold.llm.frames import forget, keep
 
 BUCKETS = 1 << 14
 META_BUCKETS = 1 << 12
@@ -46,8 +46,8 @@ N_STATS = 5
 META = ("source", "lang", "size", "host", "top", "form", "query")
 
 
-def _statistics(data, offsets, powers) -> np.ndarray:
-    s = rules.statistics(data, offsets, powers)
+def _statistics(data, offsets) -> np.ndarray:
+    s = rules.statistics(data, offsets)
     words = np.maximum(1, s["n_words"])
     chars = np.maximum(1, np.diff(offsets))
     upper = np.diff(np.r_[0, np.cumsum((data >= 65) & (data <= 90))][offsets])
@@ -56,14 +56,13 @@ def _statistics(data, offsets, powers) -> np.ndarray:
 
 def _sample_rows(buckets: int):
     def run(batches):
-        powers = tv.Powers()
         for batch, data, offsets in tv.blocks(batches, "text"):
             n = len(offsets) - 1
             bucket, inside = rules.grams(data, offsets, buckets)
             at = np.flatnonzero(inside)
             pair, count = np.unique((np.searchsorted(offsets, at, "right") - 1) * buckets + bucket[at], return_counts=True)
             ends = np.r_[0, np.cumsum(np.bincount(pair // buckets, minlength=n))].astype(np.int32)
-            stats = _statistics(data, offsets, powers)
+            stats = _statistics(data, offsets)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pair % buckets, count)]
             dense = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * N_STATS), pa.array(stats.ravel()))
             names = batch.schema.names
@@ -246,7 +245,6 @@ def _text_rows(model):
     counts of the task's labelled texts."""
 
     def run(batches):
-        powers = tv.Powers()
         ratio, full = model.value
         n = len(ratio)
         total = np.zeros((2, n), np.int64)
@@ -263,7 +261,7 @@ def _text_rows(model):
                     some = inside & (weight > 0)
                     total[c] += np.bincount(bucket[some], weight[some], n).astype(np.int64)
             rows = batch.num_rows
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * N_STATS), pa.array(_statistics(data, offsets, powers).ravel())) if full else pa.nulls(rows, pa.list_(pa.float64()))
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * N_STATS), pa.array(_statistics(data, offsets).ravel())) if full else pa.nulls(rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(_column(batch, c) for c in names[:4]), pa.array(nb), stats, *[pa.nulls(rows, pa.int64())] * 3], names)
         counts = _count_batch(total)
         k = counts.num_rows
@@ -289,10 +287,7 @@ def read_texts(base: DataFrame, marks: DataFrame | None, ratio: np.ndarray, full
         texts = base.join(F.broadcast(marks), "id", "left")
     sent = spark.sparkContext.broadcast((ratio, full))
     texts = texts.select("id", "source", "lang", "size", "text", F.coalesce("label", F.lit(-1)).alias("label"))
-    out = keep(texts.mapInArrow(_text_rows(sent), "id long, source string, lang string, size int, nb double, stats array<double>, bucket long, bad long, good long"), "texts")
-    if moved:
-        release(spark)
-    return out
+    return keep(texts.mapInArrow(_text_rows(sent), "id long, source string, lang string, size int, nb double, stats array<double>, bucket long, bad long, good long"), "texts")
 
 
 def co_train(text: View, meta: View, labelled: np.ndarray, y: np.ndarray, base: DataFrame, unlabelled: DataFrame, rounds: int, broadcast_ids: int) -> DataFrame:

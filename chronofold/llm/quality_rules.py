@@ -6,11 +6,13 @@ of log p_target - log p_raw; it passes if the score is at least `threshold`. Sco
 integers (log ratios in 1/65536), so they do not depend on order or partitioning.
 
 Scale: counts are summed per task and shuffled as one row for each task and used bucket; the model is
-`buckets` numbers, whatever the corpus. The trusted target takes all good labelled documents. Their ids
-are broadcast up to `target_docs` of them; above that texts are dealt by id, those without one by content.
+`buckets` numbers, whatever the corpus. The trusted target takes all good labelled documents, however many:
+texts are dealt by id to meet their label, those without an id by content, so labels are never broadcast.
 
 Defined cases: null or empty text has all counts 0, fails the base rules and scores 0; without good
-labels the verdict passes everything that the base rules pass; repeated rows give a row each.
+labels the verdict passes everything that the base rules pass; repeated rows give a row each; a score equal
+to the threshold passes; a text of any length is judged whole, alone in its block; an empty table gives no
+rows; other columns are ignored by `judge` and kept by `filter_kept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ BUCKETS = 1 << 16
 GRAM = 4
 SHRINK = 10.0
 THRESHOLD = -0.3
-TARGET_DOCS = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -47,36 +48,33 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarr
     return (h >> np.uint32(16)).astype(np.int64) % buckets, inside
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray, powers: tv.Powers) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
+def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row. Words and lines are compared
+    as they are, windows of words by numbers of their words."""
     n = len(offsets) - 1
-    starts, ends, row = tv.word_spans(data, offsets)
+    starts, _, row = tv.word_spans(data, offsets)
     per_row = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][offsets])
-    prefix = powers.prefix(data)
-    h = tv.mix(powers.spans(prefix, starts, ends))
-    m = max(0, len(h) - 4)
-    acc = np.zeros(m, U)
-    for i in range(5):
-        acc = acc * U(0xD6E8FEB86659FD93) + h[i : i + m]
+    word = tv.codes(tv.segments(data, ~tv.SEPARATOR[data], starts))
+    m = max(0, len(word) - 4)
+    two = tv.pair_codes(word[:-1], word[1:]) if m else word
+    window = tv.pair_codes(tv.pair_codes(two[:m], two[2 : m + 2]), word[4 : m + 4]) if m else word[:0]
     inside = np.flatnonzero(row[:m] == row[4 : 4 + m])
-    cover = np.zeros(len(h) + 5, np.int32)
+    cover = np.zeros(len(word) + 5, np.int32)
     if len(inside):
-        order, twice = _repeats(row[inside], tv.mix(acc[inside]))
+        order, twice = _repeats(row[inside], window[inside])
         at = inside[order[twice]]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + 5, -1)
-    covered = np.cumsum(cover)[: len(h)] > 0
+    covered = np.cumsum(cover)[: len(word)] > 0
     newline = np.flatnonzero(data == 10)
     line = np.unique(np.r_[offsets[:-1], newline + 1])
     line = line[line < len(data)]
     stop = np.r_[line[1:], len(data)] if len(line) else line
-    stop = stop - (data[stop - 1] == 10) if len(line) else stop
-    words_before = np.searchsorted(starts, np.c_[line, stop])
-    line, stop = (x[words_before[:, 1] > words_before[:, 0]] for x in (line, stop))
-    line_row = np.searchsorted(offsets, line, "right") - 1
+    with_words = np.searchsorted(starts, stop) > np.searchsorted(starts, line)
     dup = np.zeros(n, np.int64)
-    if len(line):
-        key = tv.mix(powers.spans(prefix, line, stop))
+    if with_words.any():
+        key = tv.codes(tv.segments(data, data != 10, line))[with_words]
+        line_row = np.searchsorted(offsets, line[with_words], "right") - 1
         order = np.argsort(key, kind="stable")
         order = order[np.argsort(line_row[order], kind="stable")]
         same = np.r_[False, (key[order][1:] == key[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])]
@@ -113,18 +111,14 @@ def _count_rows(buckets: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets: int = BUCKETS) -> np.ndarray:
     """Log ratios of the two multinomials, shrunk to 0 for rare buckets, in 1/65536."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
-    good = good.withColumn("good", F.lit(True))
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("k")).filter("k is not null").distinct()
+    right = good.select("k", F.lit(0).cast("long").alias("salt"), F.lit(False).alias("null_id"), F.lit(True).alias("good"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if good.count() > target_docs:
-        salt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-        texts = texts.withColumns({"k": F.coalesce("id", F.lit(0)), "salt": salt, "null_id": F.col("id").isNull()})
-        right = good.select(F.col("id").alias("k"), F.lit(0).cast("long").alias("salt"), F.lit(False).alias("null_id"), "good")
-        texts = texts.join(right.hint("shuffle_hash"), ["k", "salt", "null_id"], "left")
-    else:
-        texts = texts.join(F.broadcast(good), "id", "left")
+    salt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    texts = texts.select(F.coalesce("id", F.lit(0)).alias("k"), salt.alias("salt"), F.col("id").isNull().alias("null_id"), "text")
+    texts = texts.join(right.hint("shuffle_hash"), ["k", "salt", "null_id"], "left")
     counts = texts.select(F.coalesce("good", F.lit(False)).alias("good"), "text").mapInArrow(_count_rows(buckets), "bucket long, raw long, target long")
     counts = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -140,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", bu
 
 def _score_rows(model, threshold: float):
     def run(batches):
-        powers, ratio = tv.Powers(), model.value
+        ratio = model.value
         for batch, data, offsets in tv.blocks(batches, "text"):
-            s = statistics(data, offsets, powers)
+            s = statistics(data, offsets)
             bucket, inside = grams(data, offsets, len(ratio))
             total = np.zeros(len(data) + 1, np.int64)
             number = np.zeros(len(data) + 1, np.int64)
@@ -156,9 +150,9 @@ def _score_rows(model, threshold: float):
     return run
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: id, statistics, base_failed, kept and score."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, buckets, target_docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, buckets))
     out = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(
         _score_rows(model, threshold),
         "key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double",
@@ -178,9 +172,9 @@ def _filter_rows(model, threshold: float):
     return run
 
 
-def filter_kept(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def filter_kept(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of docs that judge() keeps, without a join: texts do not move."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, buckets, target_docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, buckets))
     named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
     out = named.mapInArrow(_filter_rows(model, threshold), named.schema)
     return out.withColumnRenamed("text", text_col) if text_col != "text" else out

@@ -3,23 +3,30 @@
 Every byte that a string of `length` bytes covers which also starts anywhere else (same document
 included) is removed. Rolling-hash triggers cut the corpus into phrases: a position is a trigger if its
 16-byte rolling hash is the smallest (rightmost on ties) of some window of length - 15 positions, so each
-string of `length` bytes holds a trigger that its own bytes determine. A string is then named by the
-offset to its trigger, the end of the phrase it starts in and the parse that follows; two equal strings
-have equal names. What a suffix array of dictionary and parse would put side by side is grouped level by
-level instead, coarse to fine, as only agreement over `length` bytes counts, not the order beyond it:
-
-1. triggers whose half context, `length`/2 bytes forward or backward, occurs elsewhere (most drop out);
-2. ranges of `length`/8 starts, then a seventh of these: settled whole if the string that spans the range
-   occurs elsewhere, and dropped if the core that its strings share does not;
-3. single starts, in the ranges that remain, by 128-bit hashes of their strings.
-
-Scale: level 1 is one row for about 200 bytes of text; levels 2 and 3 only hold repeated places. Equal
-texts are one class; if it has two members all its strings repeat. Counts are minimum and maximum of
-places (partial aggregates), and the joins back are on unique keys, so hot passages can be split. Texts
-move only for documents with repeated places. Places of the representatives are named by class.
-
-Defined cases: null text is empty: 0 bytes, nothing removed; texts shorter than `length` lose nothing;
-repeated rows are documents of their own, so their texts repeat; null ids keep their rows.
+string of `length` bytes holds a trigger that its own bytes determine. A suffix of the corpus is then the
+suffix of a phrase (from its start to the next trigger) followed by a suffix of the parse (from the trigger
+on), and two equal strings meet at like triggers, so the corpus order is built trigger by trigger:
+
+1. Triggers whose half context, `length`/2 bytes forward or backward, occurs nowhere else drop out: what
+   is left is the repetitive text that the method is made for.
+2. The rest are dealt by the content of their trigger. The phrases that end there are sorted from their ends,
+   which orders the suffixes of the dictionary, the parse suffixes by their first `length` bytes; LCPs between
+   neighbours give, for each distance to the trigger, the class of the phrase suffix and of the parse suffix.
+   A start repeats if another has both: the two then lie side by side in corpus order with an LCP of `length`
+   or more. Like contexts are one entry of the dictionary. All this compares bytes, not hashes.
+3. A trigger found in more than `MEMBERS` places does not go to one task: ranges of its starts are grouped by
+   hashes instead, coarse to fine (`length`/8 starts, a seventh of these, single starts): settled whole if the
+   string that spans a range occurs elsewhere, dropped if the core that its strings share does not.
+
+Scale: step 1 is one row for about 100 bytes of text, step 2 about 800 bytes for each repeated trigger; groups
+are streamed, several thousand members at a time. Equal texts are one class; if it has two members all its
+strings repeat. Counts of step 3 are minimum and maximum of places (partial aggregates), and the joins back are
+on unique keys, so hot passages can be split. Lists of places and spans of a text are shorter than the text.
+
+Defined cases: null text is empty: 0 bytes, nothing removed; texts shorter than `length` lose nothing; texts of
+any length are whole; repeated rows are documents of their own, so their texts repeat; null ids keep their rows;
+an empty table gives no rows; other columns do not matter, whatever their names. Hashes of strings in step 3
+are two of 61 bits under bases drawn for each run.
 """
 
 from __future__ import annotations
@@ -37,6 +44,11 @@ from chronofold.llm.frames import forget, keep
 U = tv.U
 K = 16
 BROADCAST_IDS = 1_000_000
+#: Contexts of one trigger that a task takes together.
+MEMBERS = 16_384
+#: Bytes of text that are cut into ranges or starts at once.
+FINE = 1 << 18
+NO_ID = -(1 << 63)
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -49,43 +61,168 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def triggers(data, offsets, prefix, powers: tv.Powers, length: int):
-    """Runs of starts with one trigger: (row, trigger, first start, last start)."""
+def rolling(data: np.ndarray) -> np.ndarray:
+    """The polynomial hash modulo 2**64 of the K bytes at each position. It chooses triggers only: equal bytes
+    have equal hashes, and nothing depends on the reverse."""
+    h, n, base = data.astype(U) + U(1), 1, tv.BASE
+    while n < K:
+        h = h[:-n] * U(base) + h[n:]
+        n, base = 2 * n, base * base & 0xFFFFFFFFFFFFFFFF
+    return tv.mix(h)
+
+
+def triggers(data, offsets, length: int):
+    """Runs of starts with one trigger: (row, trigger, first start, last start, the trigger's hash)."""
     w = length - K + 1
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty
-    at = np.arange(len(data) - K + 1)
-    h = tv.mix(powers.spans(prefix, at, at + K)) & U(0xFFFFFFFF00000000)
-    low = window_min(h | (U(0xFFFFFFFF) - at.astype(U)), w)
+        return empty, empty, empty, empty, empty
+    h = rolling(data)
+    low = window_min((h & U(0xFFFFFFFF00000000)) | (U(0xFFFFFFFF) - np.arange(len(h)).astype(U)), w)
     trigger = (U(0xFFFFFFFF) - (low & U(0xFFFFFFFF))).astype(np.int64)
     stop = np.repeat(offsets[1:], np.diff(offsets))
     start = np.flatnonzero(np.arange(len(trigger)) + length <= stop[: len(trigger)])
     if not len(start):
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     q = trigger[start]
     row = np.searchsorted(offsets, start, "right") - 1
     new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (row[1:] != row[:-1])])
-    return row[new], q[new], start[new], start[np.r_[new[1:], len(start)] - 1]
+    return row[new], q[new], start[new], start[np.r_[new[1:], len(start)] - 1], h[q[new]].view(np.int64)
 
 
-def _half_rows(length: int):
+def _half_rows(length: int, base: int):
     half = length // 2
 
     def run(batches):
-        powers = tv.Powers()
+        powers = tv.Powers(base)
         for batch, data, offsets in tv.blocks(batches, "text"):
             cls = batch.column(0).to_numpy()
             prefix = powers.prefix(data)
-            row, q, first, last = triggers(data, offsets, prefix, powers, length)
+            row, q, first, last, tau = triggers(data, offsets, length)
             new = np.zeros(len(cls), bool)
             new[np.unique(cls, return_index=True)[1]] = True
             own = new[row]
-            row, q, first, last = row[own], q[own], first[own], last[own]
+            row, q, first, last, tau = row[own], q[own], first[own], last[own], tau[own]
             ahead, back = last >= q - half, first <= q - half
             keys = np.r_[tv.mix(powers.spans(prefix, q[ahead], q[ahead] + half)), tv.mix(powers.spans(prefix, q[back] - half, q[back]) ^ U(0x5851F42D4C957F2D))]
-            row, q = np.r_[row[ahead], row[back]], np.r_[q[ahead], q[back]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cls[row]), pa.array(q - offsets[row])], ["key", "cls", "q"])
+            row, q, tau = (np.r_[x[ahead], x[back]] for x in (row, q, tau))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cls[row]), pa.array(q - offsets[row]), pa.array(tau)], ["key", "cls", "q", "tau"])
+
+    return run
+
+
+CONTEXT = "tau long, cls long, q long, lo long, hi long, back binary, ahead binary"
+
+
+def _pieces(data, starts, ends) -> pa.Array:
+    size = ends - starts
+    at = np.r_[0, np.cumsum(size)]
+    flat = data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def _context_rows(length: int):
+    """Texts with their repeated triggers to the phrase before each and the text after it, as far as its starts
+    reach: (trigger's hash, class, place, first and last start, bytes before, bytes from the trigger on)."""
+
+    def run(batches):
+        for batch, data, offsets in tv.blocks(batches, "text"):
+            row, q, first, last, tau = triggers(data, offsets, length)
+            own = np.isin(q, _places(batch.column(2), offsets))
+            row, q, first, last, tau = row[own], q[own], first[own], last[own], tau[own]
+            cls = batch.column(0).to_numpy()
+            for at in range(0, len(q), 4096):
+                s = slice(at, at + 4096)
+                base = offsets[row[s]]
+                arrays = [pa.array(tau[s]), pa.array(cls[row[s]]), *(pa.array(x[s] - base) for x in (q, first, last))]
+                yield pa.RecordBatch.from_arrays([*arrays, _pieces(data, first[s], q[s]), _pieces(data, q[s], last[s] + length)], ["tau", "cls", "q", "lo", "hi", "back", "ahead"])
+
+    return run
+
+
+def _matrix(column, width: int, backwards: bool) -> np.ndarray:
+    """The values as rows of bytes, filled up with zeros; backwards from their ends."""
+    data, offsets = tv.text_buffers(column)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(data)) - offsets[row]
+    out = np.zeros((len(size), width), np.uint8)
+    out[row, size[row] - 1 - place if backwards else place] = data
+    return out
+
+
+def _order(group: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by group and bytes, and the LCP of each with the one before; -1 in a new group."""
+    order = np.argsort(np.ascontiguousarray(matrix).view(f"S{matrix.shape[1]}").ravel(), kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
+    sorted_rows, g = matrix[order], group[order]
+    differ = sorted_rows[1:] != sorted_rows[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), matrix.shape[1])
+    return order, np.r_[-1, np.where(g[1:] != g[:-1], -1, lcp)]
+
+
+def _classes(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
+    """The class of each row by its first `depth` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(lcp < depth)
+    return out
+
+
+def repeated_starts(tau, low, high, back: np.ndarray, ahead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of distances a to the trigger, low <= a <= high, at which the string of `length` bytes, the last a
+    of `back` (backwards) and the first length - a of `ahead`, is that of another row: (row, from, to)."""
+    back_order, back_lcp = _order(tau, back)
+    ahead_order, ahead_lcp = _order(tau, ahead)
+    whole = np.c_[_classes(back_order, back_lcp, back.shape[1]), _classes(ahead_order, ahead_lcp, ahead.shape[1]), low, high]
+    _, first, entry, copies = np.unique(whole, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    entry = entry.ravel()
+    n = len(first)
+    found = np.zeros((n, int(high.max()) + 2), bool)
+    lone = copies < 2
+    low, high = low[first], high[first]
+    for a in range(int(low.min()), int(high.max()) + 1):
+        some = np.flatnonzero((low <= a) & (a <= high))
+        key = _classes(back_order, back_lcp, a)[first[some]] * (len(tau) + 1) + _classes(ahead_order, ahead_lcp, length - a)[first[some]]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        twice = np.empty(len(some), bool)
+        twice[order] = np.r_[False, same] | np.r_[same, False]
+        found[some, a] = twice | ~lone[some]
+    edge = np.diff(np.c_[np.zeros(n, np.int8), found.astype(np.int8)], axis=1)
+    row, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1] - 1
+    # Back from entries to all rows that have them.
+    runs = np.bincount(row, minlength=n)
+    ends = np.cumsum(runs)
+    per = runs[entry]
+    at = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat((ends - runs)[entry], per)
+    return np.repeat(np.arange(len(entry)), per), start[at], stop[at]
+
+
+def _match_rows(length: int, members: int):
+    """Contexts sorted by trigger to the repeated starts, as ranges (cls, lo, hi)."""
+
+    def match(t: pa.Table):
+        tau, cls, q, lo, hi = (t.column(i).to_numpy() for i in range(5))
+        back = _matrix(t.column(5), max(1, int((q - lo).max())), True)
+        ahead = _matrix(t.column(6), int((hi + length - q).max()), False)
+        row, start, stop = repeated_starts(tau, q - hi, q - lo, back, ahead, length)
+        return pa.RecordBatch.from_arrays([pa.array(cls[row]), pa.array(q[row] - stop), pa.array(q[row] - start)], ["cls", "lo", "hi"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if len(held) < members:
+                continue
+            tau = held.column(0).to_numpy()
+            last = int(np.flatnonzero(np.r_[True, tau[1:] != tau[:-1]])[-1])
+            if last:
+                yield match(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield match(held)
 
     return run
 
@@ -108,17 +245,13 @@ def _cut(data, offsets, powers, row, q, a, width, first, last, cls, known, lengt
     return pa.RecordBatch.from_arrays(arrays, ["cls", "q", "a", "lo", "hi", "known", "core", "w1", "w2"])
 
 
-def _both() -> tuple[tv.Powers, tv.Powers]:
-    return tv.Powers(), tv.Powers(0xD1342543DE82EF95)
-
-
-def _range_rows(length: int, width: int):
+def _range_rows(length: int, width: int, bases):
     """Texts with their repeated triggers to ranges of `width` starts."""
 
     def run(batches):
-        powers = _both()
-        for batch, data, offsets in tv.blocks(batches, "text"):
-            row, q, first, last = triggers(data, offsets, powers[0].prefix(data), powers[0], length)
+        powers = list(map(tv.Powers, bases))
+        for batch, data, offsets in tv.blocks(batches, "text", FINE):
+            row, q, first, last, _ = triggers(data, offsets, length)
             own = np.isin(q, _places(batch.column(2), offsets))
             row, q, first, last = row[own], q[own], first[own], last[own]
             part = (q - last) // width
@@ -130,12 +263,12 @@ def _range_rows(length: int, width: int):
     return run
 
 
-def _narrow_rows(length: int, width: int, sub: int):
+def _narrow_rows(length: int, width: int, sub: int, bases):
     """Texts with open ranges (q, a, lo, hi, settled) of `width` starts to ranges of `sub` starts."""
 
     def run(batches):
-        powers = _both()
-        for batch, data, offsets in tv.blocks(batches, "text"):
+        powers = list(map(tv.Powers, bases))
+        for batch, data, offsets in tv.blocks(batches, "text", FINE):
             row, q, a, lo, hi, known = _spans(batch.column(2), offsets, ("q", "lo", "hi"), "a")
             pieces = -(-width // sub)
             i = np.repeat(np.arange(len(q)), pieces)
@@ -164,18 +297,22 @@ def _places(column, offsets) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], np.diff(column.offsets.to_numpy()))
 
 
-def _start_rows(length: int):
+def _start_rows(length: int, bases):
     """Texts with their open ranges to single starts: (cls, p, settled, w1, w2)."""
 
     def run(batches):
-        powers = _both()
-        for batch, data, offsets in tv.blocks(batches, "text"):
+        powers = list(map(tv.Powers, bases))
+        for batch, data, offsets in tv.blocks(batches, "text", FINE):
             row, _, _, lo, hi, settled = _spans(batch.column(2), offsets, ("q", "lo", "hi"), "a")
             n = hi - lo + 1
             i = np.repeat(np.arange(len(lo)), n)
             p = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + lo[i]
-            hashes = [tv.mix(w.spans(w.prefix(data), p, p + length)).view(np.int64) for w in powers]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row[i]]), pa.array(p - offsets[row[i]]), pa.array(settled[i]), *map(pa.array, hashes)], ["cls", "p", "settled", "w1", "w2"])
+            prefixes = [w.prefix(data) for w in powers]
+            cls = batch.column(0).to_numpy()
+            for at in range(0, len(p), 100_000):
+                j, s = i[at : at + 100_000], p[at : at + 100_000]
+                hashes = [tv.mix(w.spans(x, s, s + length)).view(np.int64) for w, x in zip(powers, prefixes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[row[j]]), pa.array(s - offsets[row[j]]), pa.array(settled[j]), *map(pa.array, hashes)], ["cls", "p", "settled", "w1", "w2"])
 
     return run
 
@@ -226,7 +363,27 @@ def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("settled and not known").select("cls", "lo", "hi"), rest
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Repeated starts (cls, lo, hi) at the triggers `places` of texts (cls, text, places), by ranges."""
+    width = max(1, length // 8)
+    sub = max(1, width // 7)
+    bases = (tv.draw_base(), tv.draw_base())
+    texts = keep(texts, "hot-texts")
+    held = texts.select("cls", "text")
+    ranges = keep(texts.mapInArrow(_range_rows(length, width, bases), ROWS), "ranges")
+    done, open_ranges = _settle(ranges)
+    forget(ranges)
+    ranges = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_narrow_rows(length, width, sub, bases), ROWS), "narrow-ranges")
+    done2, open_ranges = _settle(ranges)
+    forget(ranges)
+    starts = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_start_rows(length, bases), "cls long, p long, settled boolean, w1 long, w2 long"), "starts")
+    place = F.xxhash64("cls", "p")
+    several = starts.groupBy("w1", "w2").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.max("settled").alias("known")).filter("p0 <> p1 or known").select("w1", "w2")
+    single = starts.filter("not settled").join(several, ["w1", "w2"], "left_semi").select("cls", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    return done.unionByName(done2).unionByName(single)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, members: int = MEMBERS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     if length < 4 * K:
         raise ValueError(f"strings of at least {4 * K} bytes are needed")
@@ -235,29 +392,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = keep(texts.select("id", "cls", F.xxhash64(F.lit(7), "text").alias("cls2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "text-sizes")
     classes = keep(sizes.filter(F.col("n_bytes") >= length).groupBy("cls", "cls2").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("rep")), "text-classes")
 
-    halves = keep(texts.filter(F.octet_length("text") >= length).select("cls", "text").mapInArrow(_half_rows(length), "key long, cls long, q long"), "half-contexts")
+    halves = keep(texts.filter(F.octet_length("text") >= length).select("cls", "text").mapInArrow(_half_rows(length, tv.draw_base()), "key long, cls long, q long, tau long"), "half-contexts")
     hits = halves.join(_several(halves, ["key"], F.xxhash64("cls", "q")), "key", "left_semi")
-    hits = keep(hits.groupBy("cls").agg(F.collect_set("q").alias("places")), "repeated-triggers")
+    hits = keep(hits.select("cls", "q", "tau").distinct(), "repeated-triggers")
     forget(halves)
-    ids = keep(classes.join(hits.select("cls"), "cls", "left_semi").select("cls", F.coalesce("rep", F.lit(-(1 << 63))).alias("rep")), "repeated-texts")
+    hot = keep(hits.groupBy("tau").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > members).select("tau", F.lit(True).alias("hot")), "hot-triggers")
+    many = hot.count()
+    hits = hits.join(F.broadcast(hot) if many <= BROADCAST_IDS else hot, "tau", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hits = keep(hits.groupBy("cls", "hot").agg(F.collect_set("q").alias("places")), "places")
+    ids = keep(classes.join(hits.select("cls").distinct(), "cls", "left_semi").select("cls", F.coalesce("rep", F.lit(NO_ID)).alias("rep")), "repeated-texts")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    named = texts.withColumnRenamed("cls", "own").withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
-    # Rows that repeat an id and its text come twice; places and spans are sets by class, so this is harmless.
+    named = texts.withColumnRenamed("cls", "own").withColumn("key", F.coalesce("id", F.lit(NO_ID)))
+    # Rows that repeat an id and its text come twice; all their strings repeat anyway.
     held = keep(named.join(chosen, (F.col("key") == F.col("rep")) & (F.col("own") == F.col("cls"))).select("cls", "text"), "held-texts")
 
-    width = max(1, length // 8)
-    sub = max(1, width // 7)
-    ranges = keep(held.join(hits, "cls").select("cls", "text", "places").mapInArrow(_range_rows(length, width), ROWS), "ranges")
-    done, open_ranges = _settle(ranges)
-    forget(ranges)
-    ranges = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_narrow_rows(length, width, sub), ROWS), "narrow-ranges")
-    done2, open_ranges = _settle(ranges)
-    forget(ranges)
-    starts = keep(held.join(open_ranges, "cls").select("cls", "text", "spans").mapInArrow(_start_rows(length), "cls long, p long, settled boolean, w1 long, w2 long"), "starts")
-    place = F.xxhash64("cls", "p")
-    several = starts.groupBy("w1", "w2").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.max("settled").alias("known")).filter("p0 <> p1 or known").select("w1", "w2")
-    single = starts.filter("not settled").join(several, ["w1", "w2"], "left_semi").select("cls", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    spans = done.unionByName(done2).unionByName(single).groupBy("cls").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    contexts = held.join(hits.filter("not hot"), "cls").select("cls", "text", "places").mapInArrow(_context_rows(length), CONTEXT)
+    spans = contexts.repartition("tau").sortWithinPartitions("tau").mapInArrow(_match_rows(length, members), "cls long, lo long, hi long")
+    spans = keep(spans, "repeated-starts")
+    if many:
+        spans = spans.unionByName(_hot_spans(held.join(hits.filter("hot"), "cls").select("cls", "text", "places"), length))
+    spans = spans.groupBy("cls").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = held.join(spans, "cls").select("cls", "text", "spans").mapInArrow(_cut_rows(length), "cls long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["cls"])
     known = classes.select("cls", "cls2", "members").join(cut, "cls", "left")
     out = sizes.join(known, ["cls", "cls2"], "left")

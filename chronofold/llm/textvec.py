@@ -6,12 +6,13 @@ longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -54,30 +55,88 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+PRIME = (1 << 61) - 1
+LOW31, LOW30 = U((1 << 31) - 1), U((1 << 30) - 1)
+#: Bytes of a span that sums hold at once; longer ones are hashed in pieces.
+PIECE = 1 << 24
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    ah, al, bh, bl = a >> U(31), a & LOW31, b >> U(31), b & LOW31
+    mid = al * bh + ah * bl
+    return _reduce(ah * bh * U(2) + (mid >> U(30)) + ((mid & LOW30) << U(31)) + al * bl)
+
+
+def draw_base() -> int:
+    """A base for span hashes that no text can be made for: drawn anew for each job, on the driver."""
+    return secrets.randbelow(PRIME - (1 << 32)) + (1 << 31)
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo the prime 2**61 - 1, grown on demand. Two different spans of
+    n bytes have one hash for at most n of the 2**61 bases."""
 
-    def __init__(self, base: int = BASE):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+    def __init__(self, base: int = BASE % PRIME):
+        self.base, self.inverse = base, pow(base, -1, PRIME)
         self.up = self.down = np.ones(1, U)
 
     def grow(self, n: int) -> "Powers":
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                a = np.full(n, b, U)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=U))
+        for name, b in (("up", self.base), ("down", self.inverse)):
+            a = getattr(self, name)
+            while len(a) < n:
+                a = np.r_[a, times(a, U(pow(b, len(a), PRIME)))]
+            setattr(self, name, a)
         return self
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """Running sums from which the hash of any span follows in O(1)."""
+        """Running sums of bytes times the low 31 and the high 30 bits of powers, from which the hash of any
+        span follows in O(1)."""
         self.grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * self.up[: len(data)], out=out[1:])
+        out = np.zeros((2, len(data) + 1), U)
+        x, power = data.astype(U) + U(1), self.up[: len(data)]
+        np.cumsum(x * (power & LOW31), out=out[0, 1:])
+        np.cumsum(x * (power >> U(31)), out=out[1, 1:])
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (prefix[ends] - prefix[starts]) * self.down[starts]
+        if len(starts) and int((ends - starts).max()) > PIECE:
+            return self._long_spans(prefix, starts, ends)
+        low, high = (_reduce(p[ends] - p[starts]) for p in prefix)
+        total = _reduce(low + (((high & LOW30) << U(31)) | (high >> U(30))))
+        return times(total, self.down[starts])
+
+    def _long_spans(self, prefix, starts, ends):
+        out = np.zeros(len(starts), U)
+        for at in range(0, int((ends - starts).max()), PIECE):
+            some = np.flatnonzero(ends - starts > at)
+            s = starts[some] + at
+            part = self.spans(prefix, s, np.minimum(ends[some], s + PIECE))
+            out[some] = _reduce(out[some] + times(part, np.broadcast_to(self.up[at], len(some))))
+        return out
+
+
+def segments(data: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The kept bytes from each start to the next as binary values; a value begins at every start."""
+    before = np.r_[0, np.cumsum(keep)]
+    kept = data[keep]
+    at = np.r_[before[starts], len(kept)] if len(starts) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(kept.tobytes())])
+
+
+def codes(values: pa.Array) -> np.ndarray:
+    """A number for each value, the same for equal values only: the bytes are compared, no hash decides."""
+    return values.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of two codes."""
+    return codes(pa.array(a * (int(b.max(initial=0)) + 1) + b))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,16 +1,19 @@
 """Small fixtures with nulls, empties, ties, repeats and clashing columns, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronofold.llm import byte_bpe, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup
+from chronofold.llm import textvec as tv
 from chronofold.llm.frames import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -184,15 +187,36 @@ def brute_repeats(rows, n):
     return out
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("members", [substring_dedup.MEMBERS, 6, 0])
+def test_substrings(spark, members):
+    """All triggers matched by order, hot ones by ranges, and all by ranges."""
     rng = random.Random(2)
     base = ["".join(rng.choice("ab é\n") for _ in range(300)) for _ in range(6)]
     data = [(i, t) if t is None or len(t) < 5000 else (i, t[:500]) for i, t in ODD]
     for i in range(50):
         data.append((100 + i, "".join(rng.choice(base)[rng.randint(0, 200) :][: rng.randint(20, 260)] for _ in range(rng.randint(0, 6)))))
     data += [(300, "ab" * 300), (301, data[-1][1]), (302, base[0] + base[0])]
-    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs(spark, data), length=64).collect())
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs(spark, data), length=64, members=members).collect())
     assert got == brute_repeats(data, 64)
+
+
+@pytest.mark.parametrize("members", [substring_dedup.MEMBERS, 4])
+def test_substrings_of_400(spark, members):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (60, 90, 200, 75)]
+    data = list(ODD[:8])
+    for i in range(30):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(3)]
+        p = rng.choice(passages)
+        parts.insert(1, p[rng.randint(0, 40) : len(p) - rng.randint(0, 40)] if i % 3 else p)
+        data.append((100 + i, rng.choice([" ", "\n"]).join(parts)))
+    data += [(200, "long " * 9000), (201, "\0" * 900), (None, data[20][1]), (203, data[21][1][:-1])]
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs(spark, data), members=members).collect())
+    assert got == brute_repeats(data, 400)
+
+
+def test_substrings_empty(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).isEmpty()
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(docs(spark, []), length=10)
@@ -205,14 +229,105 @@ def test_window_min():
         assert (substring_dedup.window_min(x, w) == [x[i : i + w].min() for i in range(n - w + 1)]).all()
 
 
-def test_quality_target_counts_all_good(spark):
-    """The bound on ids that are broadcast leaves no good document out of the target."""
-    data = [(i, f"river stone {i} " * 4 if i % 2 else f"BUY click {i} " * 4) for i in range(60)] + [(None, "no id at all")]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    whole = quality_rules.fit(docs(spark, data), labels, buckets=1 << 10)
-    for bound in (0, 7):
-        assert (quality_rules.fit(docs(spark, data), labels, buckets=1 << 10, target_docs=bound) == whole).all()
-    assert whole.any()
+def plain_verdicts(data, good_ids, buckets=quality_rules.BUCKETS):
+    """The likelihood-ratio scores, gram by gram in whole numbers of Python."""
+
+    def bucket(g):
+        h = int.from_bytes(g, "little") * 0x9E3779B1 & 0xFFFFFFFF
+        h ^= h >> 15
+        return ((h * 0x85EBCA6B & 0xFFFFFFFF) >> 16) % buckets
+
+    counts = {i: Counter(bucket((t or "").encode()[p : p + 4]) for p in range(len((t or "").encode()) - 3)) for i, (_, t) in enumerate(data)}
+    raw, target = Counter(), Counter()
+    for i, (doc, _) in enumerate(data):
+        raw.update(counts[i])
+        if doc in good_ids:
+            target.update(counts[i])
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: round(math.log((target[b] + 10) / (n * share + 10)) * 65536) for b, n in raw.items()}
+    return [sum(ratio[b] * n for b, n in c.items()) / 65536 / max(1, sum(c.values())) for c in counts.values()]
+
+
+def test_quality_verdict_equals_plain_counts(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choice(["river", "stone", "BUY", "cl1ck", "née", "$$$"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(8, 60)))) for i in range(60)]
+    data += [(None, "no id at all, but ten words or more in this text of ours"), (3, "the same id again with other words that stand in no other text"), (70, "x" * 3_000_000 + " y" * 12), *ODD[:2]]
+    good = {i for i in range(0, 60, 3)}
+    labels = spark.createDataFrame([(i, int(i in good), 0, "extra") for i in range(60)] + [(None, 1, 0, "")], "doc_id long, quality int, toxic int, text string")
+    got = quality_rules.judge(docs(spark, data).withColumn("score", F.lit("own")), labels).collect()
+    want = plain_verdicts(data, good)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((i, round(w, 9)) for (i, _), w in zip(data, want, strict=True))
+    assert all(r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD) for r in got)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_made_to_collide(spark):
+    """Words and lines whose polynomial hashes modulo 2**64 are equal for every base stay apart."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    texts = ["x" + one + "y", "x" + two + "y", f"{one}\n{two}\n{one}"]
+    data = list(enumerate(texts))
+    path, pattern = vocabulary()
+    enc = byte_bpe.encoding(path, pattern)
+    got = {r[0]: tuple(r)[1:] for r in byte_bpe.encode_digests(docs(spark, data).coalesce(1), path, pattern).collect()}
+    for i, t in data:
+        ids = enc.encode_ordinary(t)
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules.judge(docs(spark, data), none).collect()} == {0: 0, 1: 0, 2: 1}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, data)).collect()} == {0: 0, 1: 1, 2: 2}
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs(spark, data), length=400).collect()) == brute_repeats(data, 400)
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    powers, base = tv.Powers(tv.draw_base()), None
+    base = powers.base
+    prefix = powers.prefix(data)
+    starts = rng.integers(0, 4000, 50)
+    ends = starts + rng.integers(0, 1000, 50)
+    want = [sum((int(x) + 1) * pow(base, i, tv.PRIME) for i, x in enumerate(data[a:b])) % tv.PRIME for a, b in zip(starts, ends, strict=True)]
+    assert powers.spans(prefix, starts, ends).tolist() == want
+
+
+def test_long_spans_in_pieces(monkeypatch):
+    monkeypatch.setattr(tv, "PIECE", 64)
+    test_span_hashes()
+
+
+def test_open_groups_in_blocks(spark, monkeypatch):
+    """Groups above a block are cut into tiles without losing a link."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    text = [rng.choice(words) for _ in range(60)]
+    data = []
+    for i in range(60):
+        own = list(text)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        data.append((i, " ".join(own)))
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(docs(spark, data)).collect())
+    assert got == brute_components(data, 4, 85)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (50, 900, 1100, 3000, 3000, 9000)]
+    sets.append(np.unique(np.r_[sets[4][:2900], sets[0]]))
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    size = np.array([len(x) for x in sets])
+    marks = jaccard_join.Sketches(pa.array(jaccard_join.sketches(row, np.concatenate(sets), size)), size)
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            links = both * 100 >= 80 * (size[a] + size[b] - both)
+            near = marks.near(np.array([a]), np.array([b]), 80)[0]
+            assert near or not links
+            assert links or not near or min(size[a], size[b]) < 60
 
 
 def test_pii_formats():
