@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.llm.frames import keep
+
 ROLES = ("system", "user", "assistant")
 PART_ROWS = 256
 #: Speaker markers by role; `name:`, `[name]`, `<name>`, `### name:` and `**name**:` forms are understood.
@@ -165,6 +167,7 @@ def parse_transcripts(pieces: DataFrame, conv_col: str = "conv_id", position_col
     edges = edges.withColumnsRenamed({"conv": "c", "part": "p"})
     held = df.join(edges, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv", "part", "position", "text", "before", "last")
     turns = held.groupBy("conv", "part").applyInArrow(_turns, "conv long, part long, at long, role string, opens boolean, n_lines long, text string, rendered string")
+    turns = keep(turns, "turns")  # read twice below: parts are decoded once
     # Turn numbers: openings before a part (a window over one row per part) plus those inside it.
     per = turns.groupBy("conv", "part").agg(F.sum(F.col("opens").cast("long")).alias("openings"))
     before = F.coalesce(F.sum("openings").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,10 +10,13 @@ remains is decided by the plain cosine of the given components in double precisi
 
 Scale: equal vectors collapse to one class first (partial aggregation), so a group of copies costs one
 vector. Tiles hold about `tile` vectors, whatever the group's size. The rotation is d x d numbers from
-one pass. Within a cell the method is quadratic, as tiled comparison is.
+one pass. A tile sends the number of links of each vector and its components as stars, never the pairs. Within
+a cell the method is quadratic, as tiled comparison is.
 
 Defined cases: null vectors, null or non-finite components, zero vectors and null labels link with
-nothing; vectors of different length never link; repeated rows are vectors of their own.
+nothing; vectors of different length never link; repeated rows are vectors of their own, and so are rows that
+repeat an id; a cosine equal to the threshold links; an empty table gives no rows; other columns do not matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.frames import components, keep
+from chronofold.llm.frames import components, joined, keep
 
 TILE = 512
 STEP = 8
@@ -63,17 +66,18 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 def _rotated(rotation, width: float):
     def run(batches):
         for b in batches:
-            out = []
-            first = []
-            for v in b.column(b.schema.get_field_index("v")).to_pylist():
-                x = np.array(v, np.float64)
-                x /= np.abs(x).max()
-                x /= np.linalg.norm(x)
-                r = rotation.value.get(len(x))
+            v = b.column(b.schema.get_field_index("v"))
+            lengths = np.diff(v.offsets.to_numpy())
+            for d in np.unique(lengths):
+                own = pa.array(lengths == d)
+                x = _floats(v.filter(own))
+                x = x / np.abs(x).max(axis=1)[:, None]
+                x = x / np.linalg.norm(x, axis=1)[:, None]
+                r = rotation.value.get(int(d))
                 x = x @ r if r is not None else x
-                out.append(x)
-                first.append(int(np.floor(x[0] / width)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64())), pa.array(first, pa.int64())], [*b.schema.names, "y", "cell"])
+                cell = np.floor(x[:, 0] / width).astype(np.int64)
+                y = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(d)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.filter(own) for c in b.columns), y, pa.array(cell)], [*b.schema.names, "y", "cell"])
 
     return run
 
@@ -104,16 +108,29 @@ def _tile_links(t: float):
         return ids_a[i], ids_b[j]
 
     def group(table: pa.Table) -> pa.Table:
+        """For each vector with links its number of them, as (rep, rep, n), and the tile's components, as a
+        star of (vector, smallest, 0) each: at most two rows for a vector."""
         side = table.column("side").to_numpy()
         same = not side.any()
         parts = []
         for s in (0, 1):
             own = table.filter(pa.array(side == s)).combine_chunks()
             get = lambda c: own.column(c).combine_chunks() if own.num_rows else None  # noqa: E731, B023
-            parts.append((own.column("rep").to_numpy(), _floats(get("y")), _scaled(_floats(get("v")))) if own.num_rows else None)
+            parts.append((np.arange(own.num_rows) + s * table.num_rows, _floats(get("y")), _scaled(_floats(get("v")))) if own.num_rows else None)
         a, b = parts[0], parts[0] if same else parts[1]
         x, y = linked(*a, *b, same) if a and b else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        first, second = (table.filter(pa.array(side == s)) for s in (0, 1))
+        rep, copies = (np.zeros(2 * table.num_rows, np.int64) for _ in range(2))
+        for at, own in ((0, first), (table.num_rows, second)):
+            rep[at : at + own.num_rows], copies[at : at + own.num_rows] = own.column("rep").to_numpy(), own.column("copies").to_numpy()
+        degree = np.zeros(len(rep), np.int64)
+        np.add.at(degree, x, copies[y])
+        np.add.at(degree, y, copies[x])
+        some = np.flatnonzero(degree)
+        nodes, root = joined(rep[x], rep[y])
+        tree = nodes != root
+        columns = np.r_[rep[some], nodes[tree]], np.r_[rep[some], root[tree]], np.r_[degree[some], np.zeros(int(tree.sum()), np.int64)]
+        return pa.table([pa.array(c) for c in columns], ["a", "b", "n"])
 
     return group
 
@@ -139,7 +156,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = keep(classes.withColumn("rep", F.xxhash64("digest")), "vector-classes")
     rotation = spark.sparkContext.broadcast(axes(classes.select("v")))
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9) or 1.0
-    placed = classes.select("rep", "label", "v").mapInArrow(_rotated(rotation, width), "rep long, label string, v array<double>, y array<double>, cell long").withColumn("d", F.size("v"))
+    placed = classes.select("rep", "copies", "label", "v").mapInArrow(_rotated(rotation, width), "rep long, copies long, label string, v array<double>, y array<double>, cell long").withColumn("d", F.size("v"))
     placed = keep(placed, "rotated")
     counts = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     above = counts.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("above"))
@@ -154,16 +171,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.transform(upto(F.col("above")), lambda k: pair(F.col("cell"), 1, own, k, 0)),
         F.transform(upto(F.col("below")), lambda k: pair(F.col("cell") - 1, 1, k, own, 1)),
     )
-    dealt = rows.select("label", "d", "rep", "v", "y", F.explode(meets).alias("m")).select("label", "d", "rep", "v", "y", "m.*")
-    links = keep(dealt.groupBy("label", "d", "base", "step", "s", "t").applyInArrow(_tile_links(threshold), "a long, b long"), "vector-links")
-    found = components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    degree = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")
+    dealt = rows.select("label", "d", "rep", "copies", "v", "y", F.explode(meets).alias("m")).select("label", "d", "rep", "copies", "v", "y", "m.*")
+    links = keep(dealt.groupBy("label", "d", "base", "step", "s", "t").applyInArrow(_tile_links(threshold), "a long, b long, n long"), "vector-links")
+    found = components(links.select("a", "b"))
+    degree = links.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     named = classes.select("rep", "digest", "low", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(low, "component").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = every.select("id", "digest").join(named, "digest", "left")
+    # Vectors that link with nothing have no digest; they stay out of the join.
+    out = every.filter("fit").select("id", "digest").join(named, "digest", "left")
+    out = out.unionByName(every.filter("not fit").select("id", "digest"), allowMissingColumns=True)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

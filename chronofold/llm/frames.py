@@ -52,12 +52,9 @@ def forget(df: DataFrame) -> None:
 TASK_EDGES = 200_000
 
 
-def _finish(batches):
-    """Components of the edges of one task by smallest labels and pointer jumping."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) and the smallest node of each one's component, by smallest labels and
+    pointer jumping."""
     nodes, at = np.unique(np.r_[a, b], return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
@@ -70,9 +67,16 @@ def _finish(batches):
         while (new != new[new]).any():
             new = new[new]
         if (new == label).all():
-            break
+            return nodes, nodes[label]
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
+def _finish(batches):
+    """Components of the edges of one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        nodes, label = joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 A text is the average of the embeddings of its hashed byte 2-, 3- and 4-grams (A-Z lower-cased, ASCII
 signs other than letters as blanks); a linear layer and softmax give the language. Embeddings and layer
 are trained together in numpy by stochastic gradient descent, on a bounded sample of labelled rows
-(`per_lang` of each language and `train_docs` in all, those with the smallest hashes, drawn from the rows
-that `learn` allows). A fifth of the sample is held back to calibrate: a temperature for the scores, and
+(`per_lang` of each language and `train_docs` in all but two of each language at least, those with the smallest
+hashes, drawn from the rows that `learn` allows); every language that has a row is learned. A fifth of the sample is held back to calibrate: a temperature for the scores, and
 the score under which a prediction is marked as not accepted.
 
 Scoring is one map over whole texts: as the layer is linear, each bucket has one logit per language, and
 a text's logits are sums of integers (logits in 1/2**20), the same for any partitioning.
 
 Defined cases: null text or text without a letter is `und` with score 0; null labels and null texts are
-not learned from; without anything to learn from all is `und`; repeated rows give a row each.
+not learned from; without anything to learn from all is `und`; repeated rows give a row each; ties go to the
+first language in order; texts of any length are read whole; an empty table gives no rows; other columns do not
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,10 +117,10 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, train_docs: int = TRAIN_DOCS, buckets: int = BUCKETS):
     """A model from the rows (id, text, lang): (names, logits by bucket, bias, temperature, floor)."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(train_docs // 10).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    each = max(10, min(per_lang, train_docs // len(counts)))
+    each = max(2, min(per_lang, train_docs // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (each + 5 * each**0.5 + 10) / n))])
     draw = F.xxhash64(F.lit("sample"), "id").bitwiseAND(F.lit((1 << 40) - 1))
     sample = docs.withColumn("draw", draw).filter(F.col("lang").isin(list(counts)) & (F.col("draw") < share[F.col("lang")] * float(1 << 40)))

@@ -16,7 +16,8 @@ numbering runs in slices of the hash order and adds up the slices before, so a h
 many windows as it needs. The table of sources is one row each.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own; repeated rows count
-each; with no words all targets are 0.
+each; rows that repeat an id are told apart by a digest of their text, so that reruns agree; documents of any
+size count whole; with no words all targets are 0; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -59,7 +60,12 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return texts.select("doc_id", "source", F.coalesce(F.expr(WORDS), F.lit(0).cast("long")).alias("size"))
+    # The start of a digest of the text tells rows apart that repeat an id.
+    return texts.select("doc_id", "source", F.coalesce(F.expr(WORDS), F.lit(0).cast("long")).alias("size"), _text_key().alias("text_key"))
+
+
+def _text_key(text: str = "text"):
+    return F.coalesce(F.substring(F.md5(F.col(text).cast("binary")), 1, 16), F.lit(""))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, seed: str = "mix") -> DataFrame:
@@ -75,30 +81,30 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = slices.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), earlier.alias("earlier"))
     df = df.join(slices, F.expr("source <=> s and class = c and slice = l"))
-    i = F.col("earlier") + F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("u", "doc_id"))
+    i = F.col("earlier") + F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("u", "doc_id", "text_key"))
     df = df.withColumn("i", i.cast("double")).withColumn("start", _uniform(F.lit(seed + "/start"), F.col("source"), F.col("class")))
     whole, f = F.floor("rate"), F.col("rate") - F.floor("rate")
     extra = F.floor(f * F.col("i") + F.col("start")) - F.floor(f * (F.col("i") - 1) + F.col("start"))
-    return df.select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (whole + extra).cast("long").alias("copies"))
+    return df.select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (whole + extra).cast("long").alias("copies"), "text_key")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, seed: str = "mix") -> DataFrame:
     """The documents, each as many times as the mix takes it, with their own columns."""
-    number = copies(docs, id_col, text_col, source_col, cap, seed).select(F.col(id_col).alias("copy_of"), "copies")
-    # Rows that repeat an id are drawn each; their sum over the id is dealt out to the rows in turn.
-    number = number.groupBy("copy_of").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    df = docs.join(number, docs[id_col].eqNullSafe(number["copy_of"]))
-    repeat = F.when(F.col("rows") == 1, F.col("copies"))
-    row = F.row_number().over(Window.partitionBy("copy_of").orderBy(F.lit(1)))
-    one = df.filter("rows = 1").withColumn("times", repeat)
-    many = df.filter("rows > 1").withColumn("row", row).withColumn("times", F.floor(F.col("copies") * F.col("row") / F.col("rows")) - F.floor(F.col("copies") * (F.col("row") - 1) / F.col("rows"))).drop("row")
-    out = one.unionByName(many.withColumn("times", F.col("times").cast("long")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1)).cast("int")))).filter("times > 0").select(*[docs[c] for c in docs.columns])
+    number = copies(docs, id_col, text_col, source_col, cap, seed).select(F.col(id_col).alias("mix_id"), F.col("text_key").alias("mix_text"), "copies")
+    # Rows that repeat an id and its text are drawn each; their sum is dealt out to them in the order of a row hash.
+    number = number.groupBy("mix_id", "mix_text").agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows"))
+    df = docs.join(number, docs[id_col].cast("long").eqNullSafe(number["mix_id"]) & (_text_key(text_col) == number["mix_text"]))
+    row = F.row_number().over(Window.partitionBy("mix_id", "mix_text").orderBy(F.xxhash64(*[docs[c] for c in docs.columns])))
+    one = df.filter("mix_rows = 1").withColumn("mix_times", F.col("mix_copies"))
+    many = df.filter("mix_rows > 1").withColumn("mix_row", row)
+    many = many.withColumn("mix_times", F.floor(F.col("mix_copies") * F.col("mix_row") / F.col("mix_rows")) - F.floor(F.col("mix_copies") * (F.col("mix_row") - 1) / F.col("mix_rows"))).drop("mix_row")
+    out = one.unionByName(many.withColumn("mix_times", F.col("mix_times").cast("long")))
+    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest("mix_times", F.lit(1)).cast("int")))).filter("mix_times > 0").select(*[docs[c] for c in docs.columns])
 
 
 MIX_SQL = r"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, coalesce(substr(md5(text), 1, 16), '') as text_key from documents
 ), per as (
   select source, sum(size)::bigint as source_size, count(*)::bigint as source_docs from sizes group by source
 ), named as (
@@ -120,10 +126,10 @@ with sizes as (
   select d.doc_id, d.size, r.source_size, r.target, case when r.source_size > 0 then r.target / r.source_size else 0.0 end as rate,
     ('0x' || substr(md5('mix|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0::double as u,
     floor(('0x' || substr(md5('mix/slice|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0::double * (floor(r.source_docs / 2000) + 1))::bigint as slice,
-    d.source, length(bin(d.size))::bigint as class
+    d.source, d.text_key, length(bin(d.size))::bigint as class
   from sizes d join rated r on d.source is not distinct from r.source
 ), numbered as (
-  select *, (row_number() over (partition by source, class order by slice, u, doc_id))::double as i,
+  select *, (row_number() over (partition by source, class order by slice, u, doc_id, text_key))::double as i,
     ('0x' || substr(md5('mix/start|' || coalesce(source, 'null') || '|' || class), 1, 13))::bigint / 4503599627370496.0::double as start
   from drawn
 )

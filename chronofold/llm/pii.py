@@ -10,10 +10,13 @@ Formats: card numbers (13 to 19 digits, Luhn-valid, first digit and grouping kep
 digits, top-level domain kept), social security numbers, ISO and day-first dates, hexadecimal secrets of
 32 digits or more with both letters and digits.
 
+The key is the caller's: whoever has it can undo the pseudonyms, so there is no default.
+
 Scale: one map over the rows without a shuffle; texts without a digit or an at sign pass untouched.
 
 Defined cases: null text stays null with no findings; nothing else in a text changes; repeated rows are
-treated alike; other columns are kept by `scrub`.
+treated alike; texts of any length are scrubbed whole; an empty table gives no rows; other columns are kept by
+`scrub`, those named like its counts are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as tv
 
-KEY = b"chronofold pseudonyms"
 ROUNDS = 10
 KINDS = ("email", "secret", "card", "phone", "ssn", "ip", "date")
 PATTERN = re.compile(
@@ -114,7 +116,7 @@ def _alphabet(c: str) -> str:
     return next((a for a in _ALPHABETS if c in a), "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" if c in "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" else c)
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value; None if the value is not valid for its kind."""
     digits = re.sub(r"[^0-9]", "", value)
     if kind == "email":
@@ -172,7 +174,7 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
     return f"{d.year:04d}-{d.month:02d}-{d.day:02d}" if value[4] == "-" else f"{d.day:02d}{value[2]}{d.month:02d}{value[2]}{d.year:04d}"
 
 
-def scrub_text(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def scrub_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     found: dict[str, int] = {}
 
     def put(m: re.Match) -> str:
@@ -218,7 +220,7 @@ def _scrub_rows(key: bytes):
     return run
 
 
-def scrub(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def scrub(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """The rows with their text pseudonymised and found_<kind> counts added (replacing like-named
     columns of the input)."""
     keep = [c for c in docs.columns if c not in {f"found_{k}" for k in KINDS}]

@@ -17,6 +17,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms: the session's spark.chronofold.pii.key; a key known to all where none is set, for
+    synthetic tables only."""
+    return spark.conf.get("spark.chronofold.pii.key", "synthetic tables").encode()
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronofold.llm import byte_bpe
 
@@ -38,7 +44,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronofold.llm import pii
 
-    return pii.scrub(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.scrub(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
 shared folder and reads again for the next. All but the last return the columns of documents. A null
-doc_id is kept apart by its row only; rows that repeat a doc_id are one document where stages join by it.
+doc_id is kept by its row only; rows that repeat a doc_id with other texts are judged each by its own text. Texts
+of any length go through whole; an empty table gives no rows; other columns of documents are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import byte_bpe, jaccard_join, mixing, pii, quality_rules
 from chronofold.llm.frames import keep
-from chronofold.llm.queries import vocabulary
+from chronofold.llm.queries import pii_key, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by pseudonyms of the same format; n_chars follows the text."""
-    return pii.scrub(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.scrub(docs.select(*COLUMNS), pii_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def plain(rows, ratio):
             kept.append(r)
     low = {i: c for i, _, c in brute_components([(r[0], r[1]) for r in kept], 5, 80)}
     kept = [r for r in kept if r[0] is None or low[r[0]] == r[0]]
-    kept = [(r[0], pii.scrub_text(r[1])[0], *r[2:]) for r in kept]
+    kept = [(r[0], pii.scrub_text(r[1], b"synthetic tables")[0], *r[2:]) for r in kept]
     sizes, groups = Counter(), defaultdict(list)
     for r in kept:
         sizes[r[3]] += len(WORD.findall(r[1]))

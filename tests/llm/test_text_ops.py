@@ -16,6 +16,7 @@ from chronofold.llm import byte_bpe, jaccard_join, language_id, mixing, pii, qua
 from chronofold.llm import textvec as tv
 from chronofold.llm.frames import components
 
+KEY = b"key of these tests"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -332,30 +333,30 @@ def test_sketches_bound_differences():
 
 def test_pii_formats():
     for kind, value in (("card", "4539 1488 0343 6467"), ("phone", "+1 (743) 555-3824"), ("phone", "+1 (152) 555-8590"), ("ip", "10.0.255.1"), ("ssn", "123-45-6789"), ("date", "2024-02-29"), ("date", "31/12/1850"), ("email", "Jörg.x_1@mail5.example.com"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")):
-        new = pii.pseudonym(kind, value)
-        assert new != value and pii.PATTERN.fullmatch(new).lastgroup == kind and pii.pseudonym(kind, new, back=True) == value
-    assert not pii.luhn(re.sub(" ", "", pii.pseudonym("card", "4539 1488 0343 6467")))
+        new = pii.pseudonym(kind, value, KEY)
+        assert new != value and pii.PATTERN.fullmatch(new).lastgroup == kind and pii.pseudonym(kind, new, KEY, back=True) == value
+    assert not pii.luhn(re.sub(" ", "", pii.pseudonym("card", "4539 1488 0343 6467", KEY)))
     for kind, value in (("card", "1234567890123456"), ("ip", "300.1.1.1"), ("ip", "01.2.3.4"), ("date", "2023-02-29"), ("ssn", "000-12-3456")):
-        assert pii.pseudonym(kind, value) is None
+        assert pii.pseudonym(kind, value, KEY) is None
     for size in (2, 10, 1000, 73049):
         assert {pii.permute(x, size, b"k", "t") for x in range(min(size, 1000))} <= set(range(size))
     assert sorted(pii.permute(x, 1000, b"k", "t") for x in range(1000)) == list(range(1000))
     twice = "4465758382889437\n4465758382889437 4465758382889437"
-    assert pii.scrub_text(twice)[1] == {"card": 3} and "4465758382889437" not in pii.scrub_text(twice)[0]
+    assert pii.scrub_text(twice, KEY)[1] == {"card": 3} and "4465758382889437" not in pii.scrub_text(twice, KEY)[0]
     text = "Mail a.b@c.org, card 4539148803436467, not 1234567890123456, on 2024-02-29."
-    new, found = pii.scrub_text(text)
-    assert found == {"email": 1, "card": 1, "date": 1} and "1234567890123456" in new and pii.scrub_text(new, back=True)[0] == text
+    new, found = pii.scrub_text(text, KEY)
+    assert found == {"email": 1, "card": 1, "date": 1} and "1234567890123456" in new and pii.scrub_text(new, KEY, back=True)[0] == text
 
 
 def test_pii_rows(spark):
     data = [*ODD, (20, "x@y.org and x@y.org"), (21, "again x@y.org")]
-    df = pii.scrub(docs(spark, data))
+    df = pii.scrub(docs(spark, data), KEY)
     got = {(r.doc_id, r.text): r.found_email for r in df.collect()}
     assert df.columns[:2] == ["doc_id", "text"] and (1, None) in got
     masks = [t for (i, t) in got if i in (20, 21)]
     assert "x@y.org" not in " ".join(masks) and len({w for t in masks for w in t.split() if "@" in w}) == 1
     assert all((i, t) in got for i, t in ODD)
-    assert pii.scrub(docs(spark, [])).isEmpty()
+    assert pii.scrub(docs(spark, []), KEY).isEmpty()
 
 
 def test_pii_long_secrets(spark):
@@ -363,9 +364,9 @@ def test_pii_long_secrets(spark):
     few = "abcdefabcdefabcdefabcdefabcdef7a"
     values = [key, key[:129], key.upper(), few]
     for value in values:
-        new, found = pii.scrub_text(f"key {value}.")
-        assert found == {"secret": 1} and value not in new and len(new) == len(value) + 5 and pii.scrub_text(new, back=True)[0] == f"key {value}."
-    got = {r.doc_id: (r.text, r.found_secret) for r in pii.scrub(docs(spark, [(i, f"key {v}.") for i, v in enumerate(values)])).collect()}
+        new, found = pii.scrub_text(f"key {value}.", KEY)
+        assert found == {"secret": 1} and value not in new and len(new) == len(value) + 5 and pii.scrub_text(new, KEY, back=True)[0] == f"key {value}."
+    got = {r.doc_id: (r.text, r.found_secret) for r in pii.scrub(docs(spark, [(i, f"key {v}.") for i, v in enumerate(values)]), KEY).collect()}
     assert all(n == 1 and values[i] not in text for i, (text, n) in got.items()) and len(got) == 4
 
 
@@ -387,7 +388,8 @@ def test_mixing(spark):
     rng = random.Random(9)
     data = [(i, "w " * rng.randint(0, 60), None, rng.choice(["a", "b", "B", "é", None, "tiny"] if i % 9 else ["tiny"]) if i % 40 else "rare", 0) for i in range(1500)]
     data += [(2000, None, None, "only null", 0), (2001, "x y", None, "rare", 0), (2001, "x y", None, "rare", 0)]
-    df = docs(spark, data)
+    data += [(2002, f"same id {'w ' * i}", None, "é", i) for i in range(6)]
+    df = docs(spark, data).withColumns({"copies": F.lit("own"), "rows": F.lit(-1), "times": F.lit(0)})
     out = mixing.copies(df).collect()
     sizes, taken, largest = Counter(), Counter(), Counter()
     for _, t, _, s, _ in data:
