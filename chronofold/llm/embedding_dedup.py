@@ -178,7 +178,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = classes.select("rep", "digest", "low", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "component").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    named = keep(named.join(low, "component").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "vector-components")
     # Vectors that link with nothing have no digest; they stay out of the join.
     out = every.filter("fit").select("id", "digest").join(named, "digest", "left")
     out = out.unionByName(every.filter("not fit").select("id", "digest"), allowMissingColumns=True)

@@ -413,7 +413,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
             found = keep(components(links.unionByName(extra)), "components")
     named = classes.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("d1", "d2", "n", "component_id")
+    # Kept first, so that the join is of two plain exchanges and a large class of copies can be split.
+    named = keep(named.join(least, "component").select("d1", "d2", "n", "component_id"), "class-components")
     # Texts without a word share one digest; they stay out of the join, as each is its own component.
     out = some.join(named, ["d1", "d2", "n"], "left").select("id", "text_key", "n", "component_id")
     out = out.unionByName(sizes.filter("n = 0").select("id", "text_key", "n", F.lit(None).cast("long").alias("component_id")))

@@ -393,7 +393,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = keep(sizes.filter(F.col("n_bytes") >= length).groupBy("cls", "cls2").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("rep")), "text-classes")
 
     halves = keep(texts.filter(F.octet_length("text") >= length).select("cls", "text").mapInArrow(_half_rows(length, tv.draw_base()), "key long, cls long, q long, tau long"), "half-contexts")
-    hits = halves.join(_several(halves, ["key"], F.xxhash64("cls", "q")), "key", "left_semi")
+    # Kept first, so that the join is of two plain exchanges and a hot half context can be split.
+    twice = keep(_several(halves, ["key"], F.xxhash64("cls", "q")), "repeated-halves")
+    hits = halves.join(twice, "key", "left_semi")
     hits = keep(hits.select("cls", "q", "tau").distinct(), "repeated-triggers")
     forget(halves)
     hot = keep(hits.groupBy("tau").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > members).select("tau", F.lit(True).alias("hot")), "hot-triggers")
