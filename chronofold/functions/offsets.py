@@ -14,7 +14,7 @@ from chronofold.errors import OffsetFormatError
 
 STREAM_START = "-1"
 NUMERIC = r"^\d+(?:_(?:\d+|inf))*$"
-COMPOSITE = r"^(.+),(\d+)$"
+COMPOSITE = r"^([^,]*),(\d+)$"
 
 
 def _col(c) -> Column:

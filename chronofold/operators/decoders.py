@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.errors import SourceError
+from chronofold.functions.offsets import offset_ord
 from chronofold.operators.resolve import normal_key, strip_suffixes
 from chronofold.plans.events import EdgeKind, Emitter, Graph, NodeKind, decode, valid
+from chronofold.plans.fold import fold
+from chronofold.sources.logs import table_events
 
 CRM = Graph(
     [NodeKind("Person", {"name": "string", "email": "string", "title": "string"}, unique="email"), NodeKind("Company", {"name": "string", "domain": "string", "stage": "string"}, {"stage": "unknown"}, unique="domain")],
@@ -148,7 +151,7 @@ FLEET_FIELDS = {"task_started": ["task_id", "task_title"], "task_status": ["task
 
 def fleet(changes: DataFrame) -> DataFrame:
     """Agent-fleet events of five types; a null field that a type needs, or a change that is no insert, is
-    an error (checked by fleet_problems before use)."""
+    an error, as fleet_problems tells and check_fleet raises."""
     e, c = Emitter(FLEET), F.col
     agent = ("Agent", c("agent_id"))
     seen = e.nodes["Agent"].upsert(c("agent_id"), {"name": c("agent_name")})
@@ -164,10 +167,44 @@ def fleet(changes: DataFrame) -> DataFrame:
     )
 
 
-def check_append_only(changes: DataFrame) -> None:
-    bad = changes.filter("operation <> 'insert'").limit(1).collect()
+def fleet_problems(changes: DataFrame) -> DataFrame:
+    """Adds `problem`: a field that the event's type needs is null, the type is unknown, or the change is no
+    insert."""
+    df = table_events(changes, FLEET_FIELDS)
+    known = F.col("event_type").isin(*FLEET_FIELDS)
+    first = F.when(F.col("operation") != "insert", "the table is append-only").when(~F.coalesce(known, F.lit(False)), "unknown event type")
+    return df.withColumn("problem", F.coalesce(first, F.col("problem")))
+
+
+def check_fleet(changes: DataFrame) -> DataFrame:
+    """The changes if all are valid; raises with the first problem."""
+    bad = fleet_problems(changes).filter("problem is not null").orderBy(offset_ord("offset")).limit(1).collect()
     if bad:
-        raise SourceError("the table is append-only", None, bad[0]["offset"])
+        raise SourceError(bad[0]["problem"], None, bad[0]["offset"])
+    return changes
+
+
+def task_snapshot(events: DataFrame) -> DataFrame:
+    """(task, status, agents, findings) of every live task of a fleet."""
+    live = fold(events).filter("tx_to is null and not deleted")
+    tasks = live.filter("kind = 'Task'").select(F.col("id").alias("task"), F.get_json_object("props", "$.status").alias("status"))
+    agents = live.filter("kind = 'assigned'").groupBy(F.col("to_id").alias("task")).agg(F.count(F.lit(1)).alias("agents"))
+    found = live.filter("kind = 'about'").groupBy(F.col("to_id").alias("task")).agg(F.count(F.lit(1)).alias("findings"))
+    return tasks.join(agents, "task", "left").join(found, "task", "left").fillna(0, ["agents", "findings"])
+
+
+#: What the three adapters of tool calls read: (call id, tool, status word, arguments).
+ADAPTERS = {
+    "parts": ("toolCallId", "toolName", "state", "input"),
+    "graph": ("run_id", "name", "event", "args"),
+    "lines": ("id", "tool", "status", "arguments"),
+}
+
+
+def adapted_calls(rows: DataFrame, adapter: str, raw: str = "raw") -> DataFrame:
+    """Tool calls from a framework's JSON records (columns raw, tx, change_ix, tx_wall) as events."""
+    call, tool, status, args = (F.get_json_object(raw, f"$.{f}") for f in ADAPTERS[adapter])
+    return tool_calls(rows.withColumns({"_call": call, "_tool": tool, "_status": status, "_args": args}), "_call", "_tool", "_status", "_args")
 
 
 def session_text(blocks: str = "blocks") -> Column:

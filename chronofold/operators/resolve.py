@@ -6,6 +6,7 @@ similar text blocks on shared rare tokens, verifies Jaccard of token sets and ta
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,25 +62,31 @@ def similar_pairs(rows: DataFrame, id: str, text: str, threshold: float) -> Data
     return pairs.filter(both >= F.lit(threshold) * (F.size("ra") + F.size("rb") - both) - 1e-9).select("a", "b")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local master (as in tests) gets a folder of its own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cluster(nodes: DataFrame, pairs: DataFrame, id: str = "id", rounds: int = 50) -> DataFrame:
+def cluster(nodes: DataFrame, pairs: DataFrame, id: str = "id") -> DataFrame:
     """(id, canonical): smallest member of each connected component, by min-label rounds with pointer
     jumping; labels are written between rounds, so lineage stays short."""
     both = _checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = _checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         jump = new.select(F.col("id").alias("j"), F.col("label").alias("jl"))
@@ -87,8 +94,6 @@ def cluster(nodes: DataFrame, pairs: DataFrame, id: str = "id", rounds: int = 50
         if new.filter("label <> old").limit(1).isEmpty():
             break
         labels = new.select("id", "label")
-    else:
-        raise RuntimeError("clusters did not settle")
     return nodes.select(F.col(id).alias("id")).join(labels.select(F.col("id").alias("n"), "label"), F.col("id") == F.col("n"), "left").select("id", F.coalesce("label", "id").alias("canonical"))
 
 
@@ -101,15 +106,18 @@ def canonical_ids(members: DataFrame, key: str, base: str = "base") -> DataFrame
 
 
 def conflicts(members: DataFrame, props: list[str], base: str = "base") -> DataFrame:
-    """Property conflicts under policy flag: (canonical, property, kept, incoming): the base value stays, or
-    the first branch's; incoming lists the other branches' differing values by rank."""
+    """Property conflicts under policy flag: (canonical, property, kept, incoming, kind): the base value stays, or
+    the first branch's. Against the base, incoming lists the branches' differing values by rank; among branches
+    it lists both sides, the kept one too."""
     pairs = F.expr("stack(" + str(len(props)) + ", " + ", ".join(f"'{p}', cast({p} as string)" for p in props) + ") as (property, value)")
     long = members.select("canonical", "branch", "rank", pairs).filter("value is not null").distinct()
     w = Window.partitionBy("canonical", "property")
-    kept = F.min(F.struct((F.col("branch") != base).alias("later"), "rank", "value")).over(w)["value"]
-    long = long.withColumn("kept", kept).filter("value <> kept")
+    first = F.min(F.struct((F.col("branch") != base).alias("later"), "rank", "value")).over(w)
+    differ = F.max("value").over(w) != F.min("value").over(w)
+    long = long.withColumns({"kept": first["value"], "kind": F.when(first["later"], "branch-branch").otherwise("base-branch"), "differ": differ})
+    long = long.filter("differ and (kind = 'branch-branch' or value <> kept)")
     listed = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("rank", "branch", "value"))), lambda x: F.concat_ws("=", x["branch"], x["value"])), "|")
-    return long.groupBy("canonical", "property", "kept").agg(listed.alias("incoming"))
+    return long.groupBy("canonical", "property", "kept", "kind").agg(listed.alias("incoming"))
 
 
 def merged(members: DataFrame, props: list[str], base: str = "base") -> DataFrame:
@@ -124,8 +132,29 @@ def earliest_end(members: DataFrame, end: str = "valid_to") -> DataFrame:
 
 
 def provenance(members: DataFrame, base: str = "base") -> DataFrame:
-    """(canonical, branch, source_id) without synthetic authors."""
-    return members.filter((F.col("branch") != base) & ~F.col("branch").startswith("__")).select("canonical", "branch", F.col("id").alias("source_id")).distinct()
+    """(canonical, role, branch, source_id) without synthetic authors; the role of the row that names the
+    entity is canonical, that of the others merged."""
+    role = F.when(F.col("id") == F.col("canonical"), "canonical").otherwise("merged").alias("role")
+    return members.filter((F.col("branch") != base) & ~F.col("branch").startswith("__")).select("canonical", role, "branch", F.col("id").alias("source_id")).distinct()
+
+
+def merge_wave(target: DataFrame, wave: DataFrame, key: str, props: list[str], base: str = "base") -> DataFrame:
+    """The target (id, <key>, props) with a wave of branch rows (branch, rank, id, <key>, props) merged in: rows
+    of one key become one, the target's values first, then the branches' by rank; new keys become new rows."""
+    rows = target.select(F.lit(base).alias("branch"), F.lit(-1).alias("rank"), "id", key, *props)
+    members = canonical_ids(rows.unionByName(wave.select("branch", F.col("rank").cast("int").alias("rank"), "id", key, *props)), key, base)
+    out = merged(members, [key, *props], base)
+    return out.select(F.col("canonical").alias("id"), key, *props)
+
+
+def merge_report(members: DataFrame, edges: DataFrame, props: list[str], base: str = "base") -> DataFrame:
+    """One row: merged nodes and edges, resolutions (rows that another id stands for) and conflicts."""
+    canon = members.select("id", "canonical").distinct()
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = one(members.select("canonical").distinct(), "nodes")
+    for df, name in ((repoint(edges, canon), "edges"), (canon.filter("id <> canonical"), "resolutions"), (conflicts(members, props, base), "conflicts")):
+        out = out.crossJoin(one(df, name))  # single rows
+    return out
 
 
 def bylines(sources: DataFrame) -> DataFrame:

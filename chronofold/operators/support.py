@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronofold.operators.resolve import _checkpoint
 
 
-def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame, rounds: int = 1000) -> DataFrame:
+def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame) -> DataFrame:
     """(fact) of all facts that hold."""
     distinct = premises.select("justification", "premise", "premise_kind").distinct()
     from_facts = not distinct.filter("premise_kind = 'fact'").limit(1).isEmpty()
@@ -28,15 +28,13 @@ def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame, rounds:
     left, held = _checkpoint(left), _checkpoint(first)
     new = held
     by_fact = _checkpoint(distinct.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
-    for _ in range(rounds):
-        if new.limit(1).isEmpty():
-            return held
+    while not new.limit(1).isEmpty():
         hits = by_fact.join(new, "fact", "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("hit"))
         left = _checkpoint(left.join(hits, "justification", "left").select("justification", (F.col("left") - F.coalesce("hit", F.lit(0))).alias("left"), F.coalesce(F.col("hit") > 0, F.lit(False)).alias("moved")))
         new = _checkpoint(left.filter("left = 0 and moved").join(derives, "justification").select("fact").distinct().join(held, "fact", "left_anti"))
         held = _checkpoint(held.unionByName(new))
         left = left.select("justification", "left")
-    raise RuntimeError("support did not settle")
+    return held
 
 
 def retract(sources: DataFrame, ids: DataFrame, retracted: bool = True) -> DataFrame:
@@ -82,3 +80,35 @@ def scaffold(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     j = F.concat_ws(":", F.lit("j"), "fact", "premise").alias("justification")
     kind = F.when(F.col("premise").startswith("claim:"), "fact").otherwise("source").alias("premise_kind")
     return each.select(j, "premise", kind), each.select(j, "fact")
+
+
+def sources_of(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(source, retracted, source_kind) from several kinds of sources, each a table with its id column and the
+    column that flags a retraction."""
+    parts = [df.select(F.col(id).cast("string").alias("source"), F.coalesce(F.col(flag), F.lit(False)).alias("retracted"), F.lit(kind).alias("source_kind")) for kind, (df, id, flag) in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def terminal_facts(premises: DataFrame, derives: DataFrame) -> DataFrame:
+    """(fact) of derived facts that are no premise of anything."""
+    used = premises.filter("premise_kind = 'fact'").select(F.col("premise").alias("fact"))
+    return derives.select("fact").distinct().join(used, "fact", "left_anti")
+
+
+def belief_changes(reports: dict[int, DataFrame]) -> DataFrame:
+    """(fact, revision, holds) rows that reports write at their recorded revisions: a fact that died is deleted
+    softly, one that revived is current again; all others keep their row."""
+    parts = [df.filter("outcome in ('died', 'revived')").select("fact", F.lit(r).cast("long").alias("revision"), (F.col("outcome") == "revived").alias("holds")) for r, df in reports.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def beliefs_at(first: DataFrame, changes: DataFrame, revision: int) -> DataFrame:
+    """(fact) held as recorded at a revision: `first` at revision 0, then the changes up to it."""
+    rows = first.select("fact", F.lit(0).cast("long").alias("revision"), F.lit(True).alias("holds")).unionByName(changes.filter(F.col("revision") <= revision))
+    return rows.groupBy("fact").agg(F.max_by("holds", "revision").alias("holds")).filter("holds").select("fact")

@@ -52,6 +52,17 @@ def revised_since(at: DataFrame, latest: DataFrame, entity: str = "entity_id") -
     return df.filter((F.size("changed") > 0) | F.col("end_changed"))
 
 
+def anchor_list(points: DataFrame) -> DataFrame:
+    """(position, offset, revision) of the anchors that views can be pinned to, by revision: of the checkpoints
+    of one revision the last stands for it. Positions are counted per thousand revisions and over these."""
+    one = points.groupBy("revision").agg(F.max_by("offset", "tx").alias("offset")).withColumn("slice", F.floor(F.col("revision") / 1000))
+    per = one.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("slice", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("slice").orderBy("revision"))
+    return one.join(per, "slice").select((F.col("before") + inside - 1).alias("position"), "offset", "revision")
+
+
 def step_anchor(n_anchors: int, index: int, by: int) -> int:
     """Clamped selection in a list of anchors."""
     return max(0, min(n_anchors - 1, index + by))

@@ -67,7 +67,7 @@ def unique_violations(current: DataFrame, kind: str, value) -> DataFrame:
     return df.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
-def audit(events: DataFrame, versions: DataFrame, graph, after_tx: int | None = None) -> DataFrame:
+def audit(events: DataFrame, versions: DataFrame, graph, after_tx: int | None = None, unique: bool = True) -> DataFrame:
     """All violations as (rule, kind, subject); empty if clean. Nothing is changed. With `after_tx` only
     those that later transactions made: events may then be the part of history these can depend on."""
     new = lambda df, tx="tx": df if after_tx is None else df.filter(F.col(tx) > after_tx)
@@ -82,7 +82,7 @@ def audit(events: DataFrame, versions: DataFrame, graph, after_tx: int | None =
         parts.append(say(new(cardinality_violations(events, ones)), "cardinality", F.col("kind"), F.concat_ws("->", "from_id", "to_id")))
     current = versions.filter("tx_to is null and not deleted")
     for n in graph.nodes.values():
-        if n.unique:
+        if n.unique and unique:
             parts.append(say(unique_violations(current, n.name, F.get_json_object("props", f"$.{n.unique}")), "unique", F.lit(n.name), F.col("value")))
     out = parts[0]
     for p in parts[1:]:
@@ -90,8 +90,8 @@ def audit(events: DataFrame, versions: DataFrame, graph, after_tx: int | None =
     return out
 
 
-def check(events: DataFrame, versions: DataFrame, graph, after_tx: int = 0) -> None:
+def check(events: DataFrame, versions: DataFrame, graph, after_tx: int = 0, unique: bool = True) -> None:
     """Raise with the first violation that transactions after `after_tx` made."""
-    bad = audit(events, versions, graph, after_tx).orderBy("rule", "kind", "subject").limit(1).collect()
+    bad = audit(events, versions, graph, after_tx, unique).orderBy("rule", "kind", "subject").limit(1).collect()
     if bad:
         raise ConstraintError(f"{bad[0]['rule']}: {bad[0]['kind']} {bad[0]['subject']}")

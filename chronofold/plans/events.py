@@ -39,6 +39,7 @@ class EdgeKind:
     to_kinds: list[str]
     props: dict[str, str] = field(default_factory=dict)
     cardinality: str = "many"
+    defaults: dict[str, object] = field(default_factory=dict)
 
 
 class Graph:
@@ -108,7 +109,10 @@ class EdgeEmitter:
 
     def upsert(self, start, end, props: dict[str, object] | None = None, window: dict[str, Column] | None = None) -> Column:
         props = props or {}
-        text = F.to_json(F.struct(*[_lit(c).cast(self.kind.props[p]).alias(p) for p, c in props.items()])) if props else F.lit("{}")
+        if extra := set(props) - set(self.kind.props):
+            raise ValueError(f"{self.kind.name} has no property {sorted(extra)}")
+        given = {p: F.coalesce(*[_lit(x) for x in (props.get(p), self.kind.defaults.get(p)) if x is not None]) for p in self.kind.props if props.get(p) is not None or self.kind.defaults.get(p) is not None}
+        text = F.to_json(F.struct(*[c.cast(self.kind.props[p]).alias(p) for p, c in given.items()])) if given else F.lit("{}")
         return _event(EDGE_UPSERT, kind=F.lit(self.kind.name), props=text, **self._ends(start, end), **(window or {}))
 
     def remove(self, start, end) -> Column:
@@ -133,10 +137,16 @@ def decode(changes: DataFrame, *rules: tuple[Column, list[Column]], passing: tup
     return changes.select(*passing, F.posexplode(every).alias("event_ix", "event")).select(*passing, "event_ix", "event.*")
 
 
-def check_events(events: DataFrame) -> None:
-    """Raise on events that both end and reopen their window, or lack what their op needs."""
+def event_problems(events: DataFrame) -> DataFrame:
+    """Adds `problem`: that an event both ends and reopens its window, or what it lacks; null if it is valid."""
     node = F.col("op").isin(NODE_UPSERT, NODE_REMOVE)
-    bad = (F.col("valid_to").isNotNull() & F.coalesce("clear_valid_to", F.lit(False))) | (node & F.col("id").isNull()) | (~node & (F.col("from_id").isNull() | F.col("to_id").isNull()))
-    rows = events.filter(bad).limit(1).collect()
+    both = F.col("valid_to").isNotNull() & F.coalesce("clear_valid_to", F.lit(False))
+    ends = F.col("from_id").isNull() | F.col("to_id").isNull()
+    return events.withColumn("problem", F.when(both, "ends and reopens").when(node & F.col("id").isNull(), "no id").when(~node & ends, "no endpoints"))
+
+
+def check_events(events: DataFrame) -> None:
+    """Raise on the first invalid event."""
+    rows = event_problems(events).filter("problem is not null").limit(1).collect()
     if rows:
-        raise ConstraintError(f"invalid event {rows[0].asDict()}")
+        raise ConstraintError(f"invalid event: {rows[0].asDict()}")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.errors import DroppedChangeError
-from chronofold.functions.offsets import offset_ord
+from chronofold.functions.offsets import check_formats, offset_ord
 from chronofold.plans import constraints, events as ev, fold as folding, incremental
+from chronofold.sources.logs import check_changes
 
 MAX_BATCH = 1000
 
@@ -90,6 +91,8 @@ def consume(source, store, decode: ev.Decoder, stop: int | None = None, max_batc
     processed = changes.count()
     if not processed:
         return Consumed(0, start, start)
+    check_formats(changes)
+    check_changes(changes, source.name)
     base = head.last_tx
     changes = changes.withColumn("tx", F.col("tx") + base)
     rows = store.stage(decode(changes), "events")
@@ -102,7 +105,7 @@ def consume(source, store, decode: ev.Decoder, stop: int | None = None, max_batc
         raise DroppedChangeError(f"stream {source.name!r}, offset {r['offset']!r}: {r['operation']} of {r['shape']} {r['key']!r} wrote nothing")
     versions = folding.fold(every)
     if store.graph is not None:
-        constraints.check(every, versions, store.graph, after_tx=base)
+        constraints.check(every, versions, store.graph, after_tx=base, unique=store.unique)
     table = transaction_table(changes)
     captured = folding.captured_transactions(versions.filter(F.col("tx_from") > base), table, head.revision == 0)
     revised = store.stage(folding.revisions(captured, head.revision), "revisions")

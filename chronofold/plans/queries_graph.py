@@ -131,11 +131,11 @@ def count_neighbours(spark, sf):
     return supply(spark, sf).neighbours("supplies", "Supplier")
 
 
-@query("select distinct l_suppkey::varchar as from_id, l_partkey::varchar as to_id from lineitem where l_suppkey < 5 and l_partkey < 500")
+@query("select distinct l_suppkey::varchar as from_id, l_partkey::varchar as to_id from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where s_acctbal > 0 and p_size <= 25")
 def subgraph(spark, sf):
-    """Edges among suppliers below 5 and parts below 500."""
-    a = table(spark, sf, "supplier").filter("s_suppkey < 5").select(F.lit("Supplier").alias("kind"), F.col("s_suppkey").cast("string").alias("id"))
-    b = table(spark, sf, "part").filter("p_partkey < 500").select(F.lit("Part").alias("kind"), F.col("p_partkey").cast("string").alias("id"))
+    """Edges among suppliers with a balance and parts of the smaller sizes."""
+    a = table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.lit("Supplier").alias("kind"), F.col("s_suppkey").cast("string").alias("id"))
+    b = table(spark, sf, "part").filter("p_size <= 25").select(F.lit("Part").alias("kind"), F.col("p_partkey").cast("string").alias("id"))
     return supply(spark, sf).subgraph(a.unionByName(b))[1].filter("kind = 'supplies'").select("from_id", "to_id")
 
 

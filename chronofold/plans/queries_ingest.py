@@ -151,9 +151,13 @@ def repaired_windows(spark, sf):
     return _ntz(folding.repair_windows(valid_versions(spark, sf)).filter("tx_to is null").select("id", "props", "valid_from", "valid_to"))
 
 
-@query(_VALID + " select id, tx_from from ver where valid_to < valid_from")
+@query("select event_id::varchar as id from events where event_id % 6 = 0")
 def inverted_windows(spark, sf):
-    return constraints.inverted_windows(valid_versions(spark, sf)).select("id", "tx_from")
+    """Every third version ends a day after it starts; half of these are written the wrong way round."""
+    day, i = F.expr("interval 1 day"), F.col("event_id")
+    df = table(spark, sf, "events").select(i.cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), i)
+    end = F.when(i % 6 == 0, F.col("at") - day).when(i % 3 == 0, F.col("at") + day)
+    return constraints.inverted_windows(df.select("id", F.col("at").alias("valid_from"), end.alias("valid_to"))).select("id")
 
 
 def log(spark, sf) -> DataFrame:
@@ -234,11 +238,11 @@ def write_receipts(spark, sf):
     return folding.effective_writes(node_events(changes, F.col("tx"), op, F.lit("{}"))).groupBy("tx").agg(F.sum("writes").alias("writes"))
 
 
-@query("""with o as (select event_id, 1 as r, user_id::varchar as id from events where event_type = 'view' union all select event_id, 3, user_id::varchar from events where event_type = 'view')
+@query("""with o as (select event_id, 1 as r, user_id::varchar as id from events union all select event_id, 3, user_id::varchar from events)
 select id, count(*)::bigint as n_removed_last from (select id, event_id, max(r) as last_rank from o group by all) where last_rank = 3 group by id""")
 def event_apply_order(spark, sf):
     """A change that removes and upserts one node in any emit order ends removed: removals apply last."""
-    df = table(spark, sf, "events").filter("event_type = 'view'")
+    df = table(spark, sf, "events")
     a = node_events(df, F.col("event_id"), F.lit("node.remove"), F.lit(None).cast("string"))
     b = node_events(df, F.col("event_id"), F.lit("node.upsert"), F.lit("{}")).withColumn("event_ix", F.lit(1))
     s = folding.states(a.unionByName(b)).filter("last_in_tx and deleted")

@@ -34,8 +34,9 @@ def unique_key_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_MEMBERS + """, l as (select canonical, branch, rank, 'nation' as property, nation as value from c union select canonical, branch, rank, 'level', level from c),
-k as (select *, first_value(value) over (partition by canonical, property order by rank, value) as kept from l)
-select canonical, property, kept, string_agg(branch || '=' || value, '|' order by rank, branch, value) as incoming from k where value <> kept group by all""")
+k as (select *, first_value(value) over (partition by canonical, property order by rank, value) as kept from l),
+d as (select *, first_value(branch) over (partition by canonical, property order by rank, value) <> 'base' as among, min(value) over (partition by canonical, property) <> max(value) over (partition by canonical, property) as differ from k)
+select canonical, property, kept, case when among then 'branch-branch' else 'base-branch' end as kind, string_agg(branch || '=' || value, '|' order by rank, branch, value) as incoming from d where differ and (among or value <> kept) group by all""")
 def property_conflicts(spark, sf):
     return resolve.conflicts(resolve.canonical_ids(members(spark, sf), "key"), ["nation", "level"])
 
@@ -50,7 +51,7 @@ def earliest_end_wins(spark, sf):
     return resolve.earliest_end(resolve.canonical_ids(members(spark, sf), "key"))
 
 
-@query(_MEMBERS + " select distinct canonical, branch, id as source_id from c where branch <> 'base'")
+@query(_MEMBERS + " select distinct canonical, case when id = canonical then 'canonical' else 'merged' end as role, branch, id as source_id from c where branch <> 'base'")
 def provenance_rows(spark, sf):
     return resolve.provenance(resolve.canonical_ids(members(spark, sf), "key"))
 
@@ -121,12 +122,12 @@ def dangling_refs(spark, sf):
     return ok.select("doc_id", F.lit(True).alias("resolved")).unionByName(bad.select("doc_id", F.lit(False).alias("resolved")))
 
 
-@query("select event_type, 'left' as side from events where false")
+@query("select 'type:' || event_type || event_id::varchar as event_type, case event_id % 7 when 0 then 'left' else 'right' end as side from events where event_id % 7 in (0, 1)")
 def convergence_check(spark, sf):
-    """Two decoders of one log give the same resources: no row on one side only."""
+    """Two decoders of one log, of which the first misses some events and the second others."""
     e = table(spark, sf, "events")
-    a = e.select(F.concat(F.lit("type:"), F.lower("event_type")).alias("event_type"))
-    b = e.withColumn("x", F.split(F.concat(F.lit("TYPE|"), F.col("event_type")), r"\|")).select(F.concat_ws(":", F.lower(F.col("x")[0]), F.lower(F.col("x")[1])).alias("event_type"))
+    a = e.filter("event_id % 7 <> 1").select(F.concat(F.lit("type:"), F.lower("event_type"), F.col("event_id").cast("string")).alias("event_type"))
+    b = e.filter("event_id % 7 <> 0").withColumn("x", F.split(F.concat(F.lit("TYPE|"), F.col("event_type")), r"\|")).select(F.concat(F.lower(F.col("x")[0]), F.lit(":"), F.lower(F.col("x")[1]), F.col("event_id").cast("string")).alias("event_type"))
     return resolve.same_rows(a, b)
 
 
@@ -165,15 +166,11 @@ def retract_cascade(spark, sf):
     return support.report(sources, support.retract(sources, _gone(sources)), premises, derives)
 
 
-@query("select 'p' || l_partkey as fact, 'revived' as outcome, count(distinct l_suppkey)::bigint as n from lineitem group by l_partkey having bool_and(l_suppkey % 5 <> 0)")
+@query(_HELD + """ select 'p' || l_partkey as fact, 'revived' as outcome from p where before and not held union all select 'o' || l_orderkey, 'revived' from o where before and not held""")
 def un_retract(spark, sf):
-    """Parts that come back when the retraction is undone, with how many suppliers carry them."""
+    """Parts and orders that come back when the retraction is undone."""
     sources, premises, derives = beliefs(spark, sf)
-    parts = premises.filter("premise_kind = 'source'")
-    own = derives.join(parts.select("justification").distinct(), "justification", "left_semi")
-    out = support.report(support.retract(sources, _gone(sources)), sources, parts, own).filter("outcome = 'revived'")
-    n = parts.join(own, "justification").groupBy("fact").agg(F.countDistinct("premise").alias("n"))
-    return out.join(n, "fact").select("fact", "outcome", "n")
+    return support.report(support.retract(sources, _gone(sources)), sources, premises, derives).filter("outcome = 'revived'")
 
 
 @query(_HELD + """ select 'p' || l_partkey as fact, 'j' || l_suppkey || '_' || l_partkey as justification, 's' || l_suppkey as source, l_suppkey % 5 <> 0 as retracted, held as currently_held

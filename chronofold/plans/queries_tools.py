@@ -76,11 +76,12 @@ def timeline_revised(spark, sf):
     return df.select("entity_id", F.array_join("changed", ",").alias("changed"), "end_changed")
 
 
-@query("select distinct user_id, event_type from events where event_id > 5000 except select user_id, event_type from events where event_id <= 5000")
+@query("with e as (select event_id, user_id, event_type, floor(value)::bigint as level from events) select user_id, event_type, level from e where event_id > 500 except select user_id, event_type, level from e where event_id <= 500")
 def new_edges(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    before, after = (x.select("user_id", "event_type").distinct() for x in (e.filter("event_id <= 5000"), e.filter("event_id > 5000")))
-    return tools.new_edges(before, after, ["user_id", "event_type"])
+    keys = ["user_id", "event_type", "level"]
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.floor("value").cast("bigint").alias("level"))
+    before, after = (x.select(*keys).distinct() for x in (e.filter("event_id <= 500"), e.filter("event_id > 500")))
+    return tools.new_edges(before, after, keys)
 
 
 @query("select user_id as stream, event_id from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'purchase') where n = 3")

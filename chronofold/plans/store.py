@@ -31,10 +31,9 @@ class Head:
 
 
 class BeliefStore:
-    def __init__(self, spark: SparkSession, root: str, graph=None, history: bool = True, parent: "BeliefStore | None" = None, enforce: bool = True):
+    def __init__(self, spark: SparkSession, root: str, graph=None, history: bool = True, parent: "BeliefStore | None" = None, unique: bool = True):
         self.spark, self.root, self.history, self.parent = spark, root.rstrip("/"), history, parent
-        self.graph = graph if enforce else None
-        self.declared = graph
+        self.graph, self.unique = graph, unique
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -110,8 +109,9 @@ class BeliefStore:
         return self.head().revision
 
     def branch(self, root: str, enforce_unique: bool = True) -> "BeliefStore":
-        """A store of its own that starts from this one's files; writes do not leak back."""
-        copy = BeliefStore(self.spark, root, self.declared, self.history, self, enforce_unique)
+        """A store of its own that starts from this one's files; writes do not leak back. Without
+        `enforce_unique` it may hold values twice that should be unique; all other rules stay."""
+        copy = BeliefStore(self.spark, root, self.graph, self.history, self, enforce_unique)
         h = self.head()
         if h.n:
             copy._publish_manifest({"n": 1, "parent": 0, "revision": h.revision, "last_tx": h.last_tx, "cursors": {}, "files": h.files})
@@ -123,6 +123,53 @@ class BeliefStore:
         live.filter("id is not null").write.parquet(f"{path}/nodes")
         live.filter("from_id is not null").write.parquet(f"{path}/edges")
 
+    def add(self, events: DataFrame) -> Head:
+        """Commit ready events (without tx) as one transaction, under the store's rules."""
+        head = self.head()
+        tx = head.last_tx + 1
+        rows = events.withColumn("tx", F.lit(tx).cast("long"))
+        check_commit(self, rows, head.last_tx)
+        revisions = self.spark.createDataFrame([(tx, head.revision + 1, True)], "tx long, revision long, captured boolean")
+        points = self.spark.createDataFrame([], "stream string, offset string, revision long, tx long")
+        return self.publish(head, rows, revisions, points, head.cursors, head.revision + 1, tx)
+
+    def load(self, path: str) -> Head:
+        """Import an export: its rows are upserted with their ids and windows, nodes before edges; a row that is
+        here already is updated."""
+        rows = self.spark.read.parquet(f"{path}/nodes").unionByName(self.spark.read.parquet(f"{path}/edges"))
+        node = F.col("id").isNotNull()
+        keys = ("kind", "id", "from_kind", "from_id", "to_kind", "to_id")
+        return self.add(rows.select(
+            F.lit(0).cast("long").alias("change_ix"), F.col("tx_wall"), F.when(node, 0).otherwise(1).cast("int").alias("event_ix"),
+            F.when(node, "node.upsert").otherwise("edge.upsert").alias("op"), *keys, "props", "valid_from", "valid_to", F.col("valid_to").isNull().alias("clear_valid_to"),
+        ))
+
+    def create(self, kind: str, id: str, props: dict, at) -> Head:
+        """One node, as a transaction of its own at the instant `at`."""
+        import json as js
+
+        from chronofold.plans.events import FIELDS
+
+        given = {"op": "node.upsert", "kind": kind, "id": id, "props": js.dumps(props, separators=(",", ":"))}
+        kinds = {"valid_from": "timestamp", "valid_to": "timestamp", "clear_valid_to": "boolean"}
+        one = self.spark.range(1)
+        return self.add(one.select(F.lit(0).cast("long").alias("change_ix"), F.lit(at).cast("timestamp").alias("tx_wall"), F.lit(0).alias("event_ix"), *[F.lit(given.get(f)).cast(kinds.get(f, "string")).alias(f) for f in FIELDS]))
+
+    def find(self, kind: str, id: str) -> DataFrame:
+        """The current row of a node, if it is there."""
+        return self.versions().filter("tx_to is null and not deleted").filter((F.col("kind") == kind) & (F.col("id") == id))
+
+
+def check_commit(store: BeliefStore, rows: DataFrame, after_tx: int) -> None:
+    """Raise if the rows are no valid events or break a rule of the store together with its history."""
+    from chronofold.plans import constraints, events as ev
+
+    ev.check_events(rows)
+    if store.graph is not None:
+        history = store.events()
+        every = rows if history is None else history.unionByName(rows)
+        constraints.check(every, folding.fold(every), store.graph, after_tx=after_tx, unique=store.unique)
+
 
 class CheckpointBook:
     """Cursors and anchors of a store: last_offset, anchor_for, record."""
@@ -187,4 +234,6 @@ def apply_plan(store: BeliefStore, plan: dict, events: DataFrame, revision_step:
     spark = store.spark
     revisions = spark.createDataFrame([(tx, head.revision + revision_step, True)], "tx long, revision long, captured boolean")
     points = spark.createDataFrame([], "stream string, offset string, revision long, tx long")
-    return store.publish(head, events.withColumn("tx", F.lit(tx).cast("long")), revisions, points, head.cursors, head.revision + revision_step, tx)
+    events = events.withColumn("tx", F.lit(tx).cast("long"))
+    check_commit(store, events, head.last_tx)
+    return store.publish(head, events, revisions, points, head.cursors, head.revision + revision_step, tx)

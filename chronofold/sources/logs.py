@@ -7,7 +7,8 @@ Sources are lazy DataFrames; checks that must fail a read run as one aggregate b
 
 from __future__ import annotations
 
-import time
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,11 +24,12 @@ OPERATIONS = ("insert", "update", "delete")
 class LogSource:
     """A named, ordered change log."""
 
-    def __init__(self, df: DataFrame, name: str, resume: Callable[[DataFrame, str | None], DataFrame] | None = None):
-        self.df, self.name, self._resume = df, name, resume
+    def __init__(self, df: DataFrame, name: str, resume: Callable[[DataFrame, str | None], DataFrame] | None = None, position: Callable[[str | None], str | None] | None = None):
+        self.df, self.name, self._resume, self._position = df, name, resume, position
 
     def read(self, after: str | None = None) -> DataFrame:
         """Changes strictly after the cursor; order columns are `ord` and `arrival_ix`."""
+        after = self._position(after) if self._position else after
         df = self._resume(self.df, after) if self._resume else self.df
         df = df.withColumn("ord", O.offset_ord("offset"))
         if after is not None:
@@ -41,9 +43,11 @@ def log_source(df: DataFrame, name: str) -> LogSource:
 
 
 def narrow_changes(df: DataFrame) -> DataFrame:
-    """Adds `problem`: why a row is no valid change, or null."""
+    """Adds `problem`: why a row is no valid change, or null. Logs without a column `value` have their payload
+    in columns of their own."""
+    empty = F.col("value").isNull() if "value" in df.columns else F.lit(False)
     ok = F.col("operation").isin(*OPERATIONS)
-    return df.withColumn("problem", F.when(F.col("operation").isNull() | ~ok, F.concat(F.lit("unsupported operation "), F.coalesce("operation", F.lit("null")))).when(F.col("key").isNull(), "missing key").when((F.col("operation") != "delete") & F.col("value").isNull(), "missing value"))
+    return df.withColumn("problem", F.when(F.col("operation").isNull() | ~ok, F.concat(F.lit("unsupported operation "), F.coalesce("operation", F.lit("null")))).when(F.col("key").isNull(), "missing key").when((F.col("operation") != "delete") & empty, "missing value"))
 
 
 def check_changes(df: DataFrame, stream: str) -> DataFrame:
@@ -54,29 +58,69 @@ def check_changes(df: DataFrame, stream: str) -> DataFrame:
     return df
 
 
-def batch_offset_source(frames: DataFrame, name: str, timeout_s: float = 30.0) -> LogSource:
+def read_outcomes(frames: DataFrame) -> DataFrame:
+    """(stream, outcome) of reading each stream: must-refetch, error or sentinel (changes under an offset that
+    marks no place) fail it, other control frames do not matter: ok."""
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    refetch, error = flag(F.col("control") == "must-refetch"), flag(F.col("control") == "error")
+    sentinel = flag(F.col("control").isNull() & F.col("batch_offset").isin("-1", "now"))
+    return frames.groupBy("stream").agg(F.when(refetch, "must-refetch").when(error, "error").when(sentinel, "sentinel").otherwise("ok").alias("outcome"))
+
+
+def within(spark: SparkSession, seconds: float, action: Callable, late: Exception):
+    """The action's result; its Spark jobs are cancelled and `late` is raised if it takes longer."""
+    if seconds == float("inf"):
+        return action()
+    context, tag = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
+    passed = threading.Event()
+
+    def stop() -> None:
+        passed.set()
+        context.cancelJobsWithTag(tag)
+
+    clock = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    clock.start()
+    try:
+        out = action()
+    except Exception as e:
+        if passed.is_set():
+            raise late from e
+        raise
+    finally:
+        clock.cancel()
+        context.removeJobTag(tag)
+    if passed.is_set():
+        raise late
+    return out
+
+
+FAILURES = {
+    "must-refetch": (errors.MustRefetchError, "the log asks for a full read"),
+    "error": (errors.ControlError, "the log reported an error"),
+    "sentinel": (errors.SourceError, "changes under a sentinel offset"),
+}
+
+
+def batch_offset_source(frames: DataFrame, name: str, timeout_s: float = 30.0, handle: str | None = None, on_handle: Callable[[str], None] | None = None) -> LogSource:
     """Shape log: frames with batch, ix, control, batch_offset and change columns. Every change gets the
     last offset of its batch. `up-to-date` ends a batch; `must-refetch` and `error` fail; other control
-    frames are ignored; changes under a sentinel offset fail; the read has a deadline."""
+    frames are ignored; changes under a sentinel offset fail; the read has a deadline. It resumes from a cursor
+    only with the shape's handle; `on_handle` hears the handle of the last frame that has one."""
 
     def resume(df: DataFrame, after: str | None) -> DataFrame:
-        began = time.monotonic()
-        flags = df.agg(
-            F.max((F.col("control") == "must-refetch").cast("int")).alias("refetch"),
-            F.max((F.col("control") == "error").cast("int")).alias("error"),
-            F.max((F.col("control").isNull() & F.col("batch_offset").isin("-1", "now")).cast("int")).alias("sentinel"),
-        ).first()
-        if timeout_s != float("inf") and time.monotonic() - began > timeout_s:
-            raise errors.CatchUpTimeout("not caught up", name, after)
-        if flags["refetch"]:
-            raise errors.MustRefetchError("the log asks for a full read", name, after)
-        if flags["error"]:
-            raise errors.ControlError("the log reported an error", name, after)
-        if flags["sentinel"]:
-            raise errors.SourceError("changes under a sentinel offset", name, after)
+        late = errors.CatchUpTimeout("not caught up", name, after)
+        outcome = within(df.sparkSession, timeout_s, lambda: read_outcomes(df).first(), late)
+        if outcome is not None and outcome["outcome"] in FAILURES:
+            kind, said = FAILURES[outcome["outcome"]]
+            raise kind(said, name, after)
+        if on_handle is not None and "handle" in df.columns:
+            last = df.filter("handle is not null").agg(F.max_by("handle", F.struct("batch", "ix")).alias("h")).first()["h"]
+            if last is not None:
+                on_handle(last)
         return stamp_batches(df)
 
-    return LogSource(frames.withColumn("stream", F.lit(name)), name, resume)
+    return LogSource(frames.withColumn("stream", F.lit(name)), name, resume, lambda after: after if handle is not None else None)
 
 
 def stamp_batches(frames: DataFrame) -> DataFrame:
@@ -85,9 +129,30 @@ def stamp_batches(frames: DataFrame) -> DataFrame:
     return frames.withColumn("offset", last).filter("control is null").withColumn("arrival_ix", F.col("ix"))
 
 
-def resume_position(offset: str | None, handle: str | None) -> str | None:
-    """A shape log resumes from an offset only with its handle; else it is read in full."""
-    return offset if offset is not None and handle is not None else None
+def resume_position(offset: Column, handle: Column) -> Column:
+    """A shape log resumes from an offset only with its handle; else it is read in full (null)."""
+    return F.when(handle.isNotNull(), offset)
+
+
+def cursor_problem(cursor: Column, retained_from: Column) -> Column:
+    """Why a durable stream cannot resume from a cursor: it is not composite, or its append is gone."""
+    p = O.parse_composite(cursor)
+    old = retained_from.isNotNull() & (p["base"] != O.STREAM_START) & (O.base_key(p["base"]) < O.base_key(retained_from))
+    return F.when(cursor.isNull(), F.lit(None).cast("string")).when(p.isNull(), "foreign cursor").when(old, "not retained")
+
+
+def mapped(messages: DataFrame, name: str, mapper: Column, raw: str = "raw") -> DataFrame:
+    """Messages with `value` = mapper; a message that it cannot map raises, naming stream and offset."""
+    out = messages.withColumn("value", mapper)
+    bad = mapper_failures(out, raw).orderBy(O.offset_ord("offset")).limit(1).collect()
+    if bad:
+        raise errors.MapperError(f"the mapper failed on {bad[0][raw]!r}", name, bad[0]["offset"])
+    return out
+
+
+def mapper_failures(messages: DataFrame, raw: str = "raw") -> DataFrame:
+    """Messages that have content, but no value."""
+    return messages.filter(F.col(raw).isNotNull() & F.col("value").isNull())
 
 
 def message_offsets(messages: DataFrame, granularity: str = "message") -> DataFrame:
@@ -108,10 +173,10 @@ def append_source(messages: DataFrame, name: str, granularity: str = "message",
 
     def resume(df: DataFrame, after: str | None) -> DataFrame:
         if after is not None:
-            base, comma, n = after.rpartition(",")
-            if not comma or not n.isdigit():
+            problem = df.sparkSession.range(1).select(cursor_problem(F.lit(after), F.lit(retained_from)).alias("p")).first()["p"]
+            if problem == "foreign cursor":
                 raise errors.OffsetFormatError(f"cursor {after!r} is not one of stream {name!r}")
-            if retained_from is not None and base != O.STREAM_START and base.isdigit() and int(base) < int(retained_from):
+            if problem is not None:
                 raise errors.RetentionError("the cursor is older than what the log retains", name, after)
         return message_offsets(df, granularity)
 
@@ -140,8 +205,13 @@ def state_changes(records: DataFrame, types: list[str] | None = None) -> DataFra
     return df.withColumns({"shape": F.col("type"), "operation": op, "value": F.coalesce("value", F.lit("{}"))})
 
 
+def reset_streams(records: DataFrame) -> DataFrame:
+    """(stream) of the logs that were reset: what was built from them is void."""
+    return records.filter("control = 'reset'").select("stream").distinct()
+
+
 def check_reset(records: DataFrame, name: str) -> None:
-    if not records.filter("control = 'reset'").limit(1).isEmpty():
+    if not reset_streams(records).isEmpty():
         raise errors.ResetError("the stream was reset", name)
 
 
@@ -204,8 +274,7 @@ def hr_time(seconds, nanos) -> Column:
 
 
 def snapshot_stream(rows: DataFrame, key: str, offsets_before: int = 0, width: int = 4) -> DataFrame:
-    """A collection snapshot as a stream: sorted by key, numbered from offsets_before + 1. The rank of a
-    key is taken in hash-free order by ranges, so the sort is distributed."""
+    """A collection snapshot as a stream: sorted by key, numbered from offsets_before + 1."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy(key)) + offsets_before
     return rows.withColumn("offset", padded(n, width))
 

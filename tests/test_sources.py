@@ -52,7 +52,31 @@ def test_shape_log(spark):
             logs.batch_offset_source(frames(spark, [(0, 0, control, offset, "a")]), "s").read()
     with pytest.raises(errors.CatchUpTimeout):
         logs.batch_offset_source(df, "s", timeout_s=0).read()
-    assert logs.resume_position("5", None) is None and logs.resume_position("5", "h") == "5"
+    heard = []
+    held = df.withColumn("handle", F.lit("h1"))
+    src = logs.batch_offset_source(held, "s", handle="h1", on_handle=heard.append)
+    assert rows(src.read("5_1").select("key")) == [("c",)] and heard == ["h1"]
+    assert logs.batch_offset_source(held, "s").read("5_1").count() == 3  # no handle: in full
+
+
+def test_mapper_failures_name_stream_and_offset(spark):
+    df = spark.createDataFrame([("1_0", '{"k": 1}'), ("2_0", "{oops"), ("3_0", None)], "offset string, raw string")
+    mapper = F.from_json("raw", "k long")["k"]
+    with pytest.raises(errors.MapperError, match="2_0") as e:
+        logs.mapped(df, "s", mapper)
+    assert (e.value.stream, e.value.offset) == ("s", "2_0")
+    assert logs.mapped(df.filter("offset <> '2_0'"), "s", mapper).count() == 2
+
+
+def test_mixed_formats_and_bad_changes_are_refused(spark, tmp_path):
+    from chronofold.plans import ingest, store as st
+
+    schema = "arrival_ix long, offset string, key string, operation string, value string, shape string"
+    for data, error in (([(0, "1_0", "a", "insert", "x", "s"), (1, "zz", "b", "insert", "x", "s")], errors.OffsetFormatError), ([(0, "1_0", None, "insert", "x", "s")], errors.SourceError)):
+        s = st.BeliefStore(spark, f"file://{tmp_path}/{error.__name__}")
+        with pytest.raises(error):
+            ingest.consume(logs.log_source(spark.createDataFrame(data, schema), "s"), s, lambda c: c)
+        assert s.head().n == 0
 
 
 def test_narrowing_and_jsonl(spark, tmp_path):
