@@ -40,7 +40,9 @@ def test_merge_flags_conflicts(spark):
     data = [("base", 0, "1", "Jane@x.org", "22", "J. Doe"), ("a", 1, "2", "jane@X.org", "87", "Jane Doe"), ("b", 2, "3", None, "5", "Other")]
     m = resolve.canonical_ids(spark.createDataFrame(data, "branch string, rank int, id string, email string, risk string, name string"), "email")
     assert rows(m.select("id", "canonical")) == [("1", "1"), ("2", "1"), ("3", "3")]
-    assert rows(resolve.conflicts(m, ["risk", "name"])) == [("1", "name", "J. Doe", "a=Jane Doe"), ("1", "risk", "22", "a=87")]
+    assert rows(resolve.conflicts(m, ["risk", "name"])) == [("1", "name", "J. Doe", "base-branch", "a=Jane Doe"), ("1", "risk", "22", "base-branch", "a=87")]
+    among = resolve.canonical_ids(m.sparkSession.createDataFrame([(*r[:2], r[2], "one@x.org", *r[4:]) for r in data[1:]], "branch string, rank int, id string, email string, risk string, name string"), "email")
+    assert rows(resolve.conflicts(among, ["risk"])) == [("2", "risk", "87", "branch-branch", "a=87|b=5")]
     assert rows(resolve.merged(m, ["risk"])) == [("1", "22"), ("3", "5")]
     assert rows(resolve.provenance(m)) == [("1", "a", "2"), ("3", "b", "3")]
 
