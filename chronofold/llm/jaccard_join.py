@@ -361,17 +361,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     sizes = keep(keyed.mapInArrow(_sizes(k, base), "id long, text_key long, n long, d1 long, d2 long, sketch binary"), "sizes")
     some = sizes.filter("n > 0")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    classes = keep(some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
     sigs = texts.select("text").mapInArrow(_signature_rows(k, percent, base), "sig long, cls long")
     shared = keep(sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_bucket_rows, "sig long, cls long, centre long, open boolean"), "buckets")
     pairs = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     candidates = shared.select(F.col("cls").alias("d1")).distinct()
-    marks = keep(some.join(candidates, "d1", "left_semi").groupBy(F.col("d1").alias("cls")).agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    marks = keep(classes.join(candidates, "d1", "left_semi").groupBy(F.col("d1").alias("cls")).agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
 
     def sets(wanted: DataFrame) -> DataFrame:
         """The sets of the classes `d1`; only their texts are read again."""
-        ids = some.join(wanted, "d1", "left_semi").groupBy("d1", "d2", "n")
-        ids = keep(ids.agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("key")).select("key").distinct(), "candidate-ids")
+        ids = classes.join(wanted, "d1", "left_semi")
+        ids = keep(ids.select(F.coalesce("rep", F.lit(NO_ID)).alias("key")).distinct(), "candidate-ids")
         chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         items = texts.withColumn("key", F.coalesce("id", F.lit(NO_ID))).join(chosen, "key", "left_semi").select("text").mapInArrow(_set_rows(k, base), "cls long, n long, items array<long>")
         return keep(items, "sets")
