@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -74,6 +75,19 @@ def test_transcript_without_markers_and_nulls(spark):
     assert chat.parse_transcripts(df.limit(0)).isEmpty()
 
 
+def test_viterbi_equals_all_paths():
+    """The decoded path is the best of all paths, by score."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 4):
+        e = np.log(rng.uniform(0.01, 1, (n, 6)))
+
+        def score(path, e=e):
+            return chat.START[path[0]] + e[0][path[0]] + sum(chat.TRANSITION[a, b] + e[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:])))
+
+        best = max(itertools.product(range(6), repeat=n), key=score)
+        assert np.isclose(score(tuple(chat.decode(e, None, None))), score(best))
+
+
 def test_viterbi_by_parts_equals_whole():
     rng = np.random.default_rng(3)
     e = np.log(rng.uniform(0.01, 1, (40, 6)))

@@ -238,7 +238,8 @@ def plain_verdicts(data, good_ids, buckets=quality_rules.BUCKETS):
         h ^= h >> 15
         return ((h * 0x85EBCA6B & 0xFFFFFFFF) >> 16) % buckets
 
-    counts = {i: Counter(bucket((t or "").encode()[p : p + 4]) for p in range(len((t or "").encode()) - 3)) for i, (_, t) in enumerate(data)}
+    texts = [(t or "").encode() for _, t in data]
+    counts = {i: Counter(bucket(b[p : p + 4]) for p in range(len(b) - 3)) for i, b in enumerate(texts)}
     raw, target = Counter(), Counter()
     for i, (doc, _) in enumerate(data):
         raw.update(counts[i])
@@ -252,7 +253,7 @@ def plain_verdicts(data, good_ids, buckets=quality_rules.BUCKETS):
 def test_quality_verdict_equals_plain_counts(spark):
     rng = random.Random(8)
     data = [(i, " ".join(rng.choice(["river", "stone", "BUY", "cl1ck", "née", "$$$"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(8, 60)))) for i in range(60)]
-    data += [(None, "no id at all, but ten words or more in this text of ours"), (3, "the same id again with other words that stand in no other text"), (70, "x" * 3_000_000 + " y" * 12), *ODD[:2]]
+    data += [(None, "no id at all, but ten words or more in this text of ours"), (3, "the same id again with other words that stand in no other text"), (70, "x" * 300_000 + " y" * 12), *ODD[:2]]
     good = {i for i in range(0, 60, 3)}
     labels = spark.createDataFrame([(i, int(i in good), 0, "extra") for i in range(60)] + [(None, 1, 0, "")], "doc_id long, quality int, toxic int, text string")
     got = quality_rules.judge(docs(spark, data).withColumn("score", F.lit("own")), labels).collect()
@@ -261,6 +262,37 @@ def test_quality_verdict_equals_plain_counts(spark):
     assert all(r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD) for r in got)
 
 
+def test_language_scores_equal_plain_sums(spark):
+    """Predictions gram by gram: integer logits of hashed 2-, 3- and 4-grams, softmax at the temperature."""
+    rng = random.Random(4)
+    word = {"aa": "lorem ipsum dolor sit", "bb": "quick brown fox", "cc": "żółw ćma jeż"}
+    known = [(i, " ".join(rng.choice(w.split()) for _ in range(rng.randint(3, 20))), lang) for i, (lang, w) in enumerate(list(word.items()) * 30)]
+    model = language_id.fit(spark.createDataFrame(known, "id long, text string, lang string"))
+    names, logits, bias, temperature, _ = model
+    data = [(1, "Lorem FOX jeż 12!"), (2, "x" * 200_000), (3, "é"), (4, "quick " * 50), (5, None), (6, "12 34")]
+
+    def plain(t):
+        x = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode()]
+        total, number = [0] * len(names), 0
+        for n in (2, 3, 4):
+            for p in range(len(x) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for c in x[p : p + n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+                row = logits[(h >> 8) % len(logits)]
+                total = [a + int(b) for a, b in zip(total, row, strict=True)]
+                number += 1
+        z = [(a / (1 << 20) / max(1, number) + b) / temperature for a, b in zip(total, bias, strict=True)]
+        e = [math.exp(v - max(z)) for v in z]
+        return names[e.index(max(e))], max(e) / sum(e)
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs(spark, data), model).collect()}
+    for i, t in data:
+        want = plain(t) if t and re.search(r"[^\W\d_]", t) else ("und", 0.0)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9
+
+
 def thue_morse(n: int, a: str, b: str) -> str:
     return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
 
