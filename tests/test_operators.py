@@ -44,7 +44,7 @@ def test_merge_flags_conflicts(spark):
     among = resolve.canonical_ids(m.sparkSession.createDataFrame([(*r[:2], r[2], "one@x.org", *r[4:]) for r in data[1:]], "branch string, rank int, id string, email string, risk string, name string"), "email")
     assert rows(resolve.conflicts(among, ["risk"])) == [("2", "risk", "87", "branch-branch", "a=87|b=5")]
     assert rows(resolve.merged(m, ["risk"])) == [("1", "22"), ("3", "5")]
-    assert rows(resolve.provenance(m)) == [("1", "a", "2"), ("3", "b", "3")]
+    assert rows(resolve.provenance(m)) == [("1", "merged", "a", "2"), ("3", "canonical", "b", "3")]
 
 
 def belief(spark):
