@@ -6,12 +6,11 @@ similar text blocks on shared rare tokens, verifies Jaccard of token sets and ta
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.functions.shared import checkpoint
+
 
 def normal_key(text) -> Column:
     """Trimmed, lower-cased id."""
@@ -62,35 +61,16 @@ def similar_pairs(rows: DataFrame, id: str, text: str, threshold: float) -> Data
     return pairs.filter(both >= F.lit(threshold) * (F.size("ra") + F.size("rb") - both) - 1e-9).select("a", "b")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local master (as in tests) gets a folder of its own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="chronofold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cluster(nodes: DataFrame, pairs: DataFrame, id: str = "id") -> DataFrame:
     """(id, canonical): smallest member of each connected component, by min-label rounds with pointer
     jumping; labels are written between rounds, so lineage stays short."""
-    both = _checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
+    both = checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         jump = new.select(F.col("id").alias("j"), F.col("label").alias("jl"))
-        new = _checkpoint(new.join(jump, F.col("label") == F.col("j"), "left").select("id", F.least("label", F.coalesce("jl", "label")).alias("label"), "old"))
+        new = checkpoint(new.join(jump, F.col("label") == F.col("j"), "left").select("id", F.least("label", F.coalesce("jl", "label")).alias("label"), "old"))
         if new.filter("label <> old").limit(1).isEmpty():
             break
         labels = new.select("id", "label")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.operators.resolve import _checkpoint
+from chronofold.functions.shared import checkpoint
 
 
 def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame) -> DataFrame:
@@ -25,14 +25,14 @@ def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame) -> Data
     first = left.filter("left = 0").join(derives, "justification").select("fact").distinct()
     if not from_facts:
         return first
-    left, held = _checkpoint(left), _checkpoint(first)
+    left, held = checkpoint(left), checkpoint(first)
     new = held
-    by_fact = _checkpoint(distinct.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
+    by_fact = checkpoint(distinct.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
     while not new.limit(1).isEmpty():
         hits = by_fact.join(new, "fact", "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("hit"))
-        left = _checkpoint(left.join(hits, "justification", "left").select("justification", (F.col("left") - F.coalesce("hit", F.lit(0))).alias("left"), F.coalesce(F.col("hit") > 0, F.lit(False)).alias("moved")))
-        new = _checkpoint(left.filter("left = 0 and moved").join(derives, "justification").select("fact").distinct().join(held, "fact", "left_anti"))
-        held = _checkpoint(held.unionByName(new))
+        left = checkpoint(left.join(hits, "justification", "left").select("justification", (F.col("left") - F.coalesce("hit", F.lit(0))).alias("left"), F.coalesce(F.col("hit") > 0, F.lit(False)).alias("moved")))
+        new = checkpoint(left.filter("left = 0 and moved").join(derives, "justification").select("fact").distinct().join(held, "fact", "left_anti"))
+        held = checkpoint(held.unionByName(new))
         left = left.select("justification", "left")
     return held
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.errors import DroppedChangeError
 from chronofold.functions.offsets import check_formats, offset_ord
+from chronofold.functions.positions import in_ranges, in_steps, numbered, running
 from chronofold.plans import constraints, events as ev, fold as folding, incremental
 from chronofold.sources.logs import check_changes
 
@@ -24,15 +25,14 @@ def check_max_batch(n) -> int:
 def transactions(changes: DataFrame, max_batch: int = MAX_BATCH) -> DataFrame:
     """Changes with tx (1, 2, ... per stream) and their place in it. A run is the changes of one offset; a
     run of n makes ceil(n / max_batch) transactions. As the log is sorted, a run is a group, and only
-    the table of transactions is numbered by a window."""
+    the table of transactions is numbered, by ranges of offsets (which runs a job)."""
     check_max_batch(max_batch)
     df = changes if "ord" in changes.columns else changes.withColumn("ord", offset_ord("offset"))
     at = F.row_number().over(Window.partitionBy("stream", "ord").orderBy("arrival_ix"))
     df = df.withColumn("slice", F.floor((at - 1) / max_batch))
     tx = df.groupBy("stream", "ord", "slice").agg(F.count(F.lit(1)).alias("n_changes"), F.min_by("offset", "arrival_ix").alias("first_offset"))
-    w = Window.partitionBy("stream").orderBy("ord", "slice")
-    last = F.coalesce(F.lead("ord").over(w) != F.col("ord"), F.lit(True))
-    tx = tx.select("stream", "ord", "slice", "n_changes", "first_offset", F.row_number().over(w).cast("bigint").alias("tx"), last.alias("ends_run"))
+    last = F.col("slice") == F.max("slice").over(Window.partitionBy("stream", "ord"))
+    tx = numbered(in_ranges(tx.withColumn("ends_run", last), "stream", "ord", "slice"), ["stream"], ["ord", "slice"], "tx")
     return df.join(tx, ["stream", "ord", "slice"]).withColumn("change_ix", F.col("arrival_ix"))
 
 
@@ -44,9 +44,8 @@ def transaction_table(changes: DataFrame) -> DataFrame:
 def stop_after(changes: DataFrame, n: int) -> DataFrame:
     """The transactions up to the first at whose end n changes or more are applied; a run that is cut is
     not checkpointed, as its last transaction is missing."""
-    per = transaction_table(changes)
-    before = F.coalesce(F.sum("n_changes").over(Window.partitionBy("stream").orderBy("tx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = per.withColumn("before", before).filter(F.col("before") < n).select("stream", "tx")
+    per = running(in_steps(transaction_table(changes), "tx"), ["stream"], ["tx"], F.col("n_changes"), "upto")
+    kept = per.filter(F.col("upto") - F.col("n_changes") < n).select("stream", "tx")
     return changes.join(kept, ["stream", "tx"], "left_semi")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold import errors
 from chronofold.functions import offsets as O
+from chronofold.functions.shared import shared_folder
 from chronofold.operators import decoders, resolve, support, tools
 from chronofold.plans import constraints, events as ev, fold as folding, ingest
 from chronofold.plans.queries_ingest import log, node_events
@@ -110,7 +111,7 @@ def _users(changes: DataFrame) -> DataFrame:
 
 
 def _store(spark, graph=USERS) -> BeliefStore:
-    return BeliefStore(spark, f"{resolve.shared_folder(spark)}/store-{uuid.uuid4().hex}", graph)
+    return BeliefStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", graph)
 
 
 _WALL = "2030-01-01 00:00:00"
@@ -200,7 +201,7 @@ def export_import(spark, sf):
     a.add(rows(p.filter("p_size >= 30"), "node.upsert", '{"size":"big"}'))
     a.add(rows(p.filter("p_size >= 30 and p_size < 40"), "node.remove", None))
     b.add(rows(p.filter("p_partkey % 3 = 0"), "node.upsert", '{"size":"any"}'))
-    path = f"{resolve.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     a.export(path)
     b.load(path)
     live = b.versions().filter("tx_to is null and not deleted")
@@ -213,7 +214,7 @@ def branches(spark, sf):
     kind = ev.Graph([ev.NodeKind("P", {"mail": "string"}, unique="mail")])
     store = _store(spark, kind)
     store.create("P", "p1", {"mail": "a@x"}, _WALL)
-    root = f"{resolve.shared_folder(spark)}/branch-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/branch-{uuid.uuid4().hex}"
     staging, plain = store.branch(f"{root}/s", enforce_unique=False), store.branch(f"{root}/p")
     for branch in (staging, plain):
         for id, mail in (("p2", "A@X"), ("p3", "b@x") if branch is staging else ("p4", "a@X")):
@@ -480,7 +481,7 @@ union all select 'ack of the lost lease', 'FencedError' from n union all select
 def lease_cycle(spark, sf):
     """Two drivers share the subscriptions of one folder: leases, fencing, acks that last, expiry and deletion."""
     tails, now = _tails(spark, sf), [0.0]
-    root = f"{resolve.shared_folder(spark)}/leases-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/leases-{uuid.uuid4().hex}"
     one, two = (StoredSubscriptions(spark, root, tails, lambda: now[0]) for _ in range(2))
     out = []
 
@@ -531,7 +532,7 @@ def subscribed_streams(spark, sf):
     from chronofold.streaming.control import consume_subscribed
 
     tails = _tails(spark, sf)
-    s = StoredSubscriptions(spark, f"{resolve.shared_folder(spark)}/leases-{uuid.uuid4().hex}", tails)
+    s = StoredSubscriptions(spark, f"{shared_folder(spark)}/leases-{uuid.uuid4().hex}", tails)
     s.ensure("sub", "agents/agent-0*")
     s.ack(s.claim("sub", "w0"), {"agents/agent-01": tails["agents/agent-01"]}, done=True)
     seen = []

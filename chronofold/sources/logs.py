@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chronofold import errors
 from chronofold.functions import offsets as O
+from chronofold.functions.positions import in_ranges, in_steps, numbered, running
 
 LOG_COLUMNS = ("stream", "arrival_ix", "offset", "shape", "key", "operation", "value")
 OPERATIONS = ("insert", "update", "delete")
@@ -217,12 +218,19 @@ def check_reset(records: DataFrame, name: str) -> None:
 
 def transaction_offsets(changes: DataFrame) -> DataFrame:
     """Granularity `transaction`: each run of neighbours with one txid gets its last change's offset; a
-    null txid keeps its own. Streams are independent; within one the runs need its order."""
-    w = Window.partitionBy("stream").orderBy("arrival_ix")
-    new = F.when(F.col("txid").isNull() | ~F.col("txid").eqNullSafe(F.lag("txid").over(w)), 1).otherwise(0)
-    runs = changes.withColumn("run", F.sum(new).over(w))
-    last = F.max_by("offset", "arrival_ix").over(Window.partitionBy("stream", "run"))
-    return runs.withColumn("offset", last).drop("run")
+    null txid keeps its own. Streams are independent; within one the runs are counted by slices, whose first
+    rows look at the last row of the slice before."""
+    rows = in_steps(changes, "arrival_ix")
+    ends = rows.groupBy("stream", "_slice").agg(F.max_by(F.struct("txid"), "arrival_ix").alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy("stream").orderBy("_slice"))
+    ends = ends.select(F.col("stream").alias("_s"), F.col("_slice").alias("_at"), before["txid"].alias("_prior"))
+    rows = rows.join(ends, F.col("stream").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_at"))).drop("_s", "_at")
+    w = Window.partitionBy("stream", "_slice").orderBy("arrival_ix")
+    prior = F.coalesce(F.lag(F.struct("txid")).over(w), F.struct(F.col("_prior").alias("txid")))["txid"]
+    rows = rows.withColumn("_new", F.when(F.col("txid").isNull() | ~F.col("txid").eqNullSafe(prior), 1).otherwise(0)).drop("_prior")
+    runs = running(rows, ["stream"], ["arrival_ix"], F.col("_new"), "_run").drop("_slice", "_new")
+    last = F.max_by("offset", "arrival_ix").over(Window.partitionBy("stream", "_run"))
+    return runs.withColumn("offset", last).drop("_run")
 
 
 def state_source(records: DataFrame, name: str, types: list[str] | None = None, granularity: str = "message") -> LogSource:
@@ -249,22 +257,23 @@ def jsonl_lines(lines: DataFrame) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSONL file (or folder) as typed rows with file, line_no and offset; malformed lines raise."""
     text = spark.read.option("wholetext", False).text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    line = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    df = jsonl_lines(text.select("file", line.alias("line_no"), F.col("value").alias("text")))
+    # the upper bits of the id are the split, and splits of a file rise with their place in it
+    lines = numbered(text.withColumn("_slice", F.shiftright("at", 33)), ["file"], ["at"], "line_no")
+    df = jsonl_lines(lines.select("file", "line_no", F.col("value").alias("text")))
     return df.select("file", "line_no", "offset", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("row"))
 
 
 def filtered_offsets(messages: DataFrame, keep: Column, order: str, width: int = 4) -> DataFrame:
     """Offsets are given after the filter, so unmodelled messages leave no gaps and no dropped changes."""
-    n = F.row_number().over(Window.partitionBy("stream").orderBy(order))
-    return messages.filter(keep).withColumn("offset", padded(n, width))
+    rows = numbered(in_ranges(messages.filter(keep), "stream", order), ["stream"], [order], "_n")
+    return rows.withColumn("offset", padded(F.col("_n"), width)).drop("_n")
 
 
 def export_spans(spans: DataFrame) -> DataFrame:
     """Spans to a change log: flat records, padded positions per stream, peer name by preference."""
-    n = F.row_number().over(Window.partitionBy("stream").orderBy("arrival_ix"))
     peer = F.coalesce("service_peer_name", "peer_service")
-    return spans.withColumns({"offset": padded(n, 4), "peer": peer, "operation": F.lit("insert"), "shape": F.lit("span"), "key": F.col("span_id")})
+    rows = numbered(in_steps(spans, "arrival_ix"), ["stream"], ["arrival_ix"], "_n")
+    return rows.withColumns({"offset": padded(F.col("_n"), 4), "peer": peer, "operation": F.lit("insert"), "shape": F.lit("span"), "key": F.col("span_id")}).drop("_n")
 
 
 def hr_time(seconds, nanos) -> Column:
@@ -275,8 +284,8 @@ def hr_time(seconds, nanos) -> Column:
 
 def snapshot_stream(rows: DataFrame, key: str, offsets_before: int = 0, width: int = 4) -> DataFrame:
     """A collection snapshot as a stream: sorted by key, numbered from offsets_before + 1."""
-    n = F.row_number().over(Window.partitionBy("stream").orderBy(key)) + offsets_before
-    return rows.withColumn("offset", padded(n, width))
+    out = numbered(in_ranges(rows, "stream", key), ["stream"], [key], "_n")
+    return out.withColumn("offset", padded(F.col("_n") + offsets_before, width)).drop("_n")
 
 
 def http_batches(batches: DataFrame, cursor: int) -> DataFrame:
