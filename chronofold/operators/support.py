@@ -8,33 +8,44 @@ last round added (semi-naive): unmet premises are counted down per justification
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.shared import checkpoint
 
 
+#: So many rounds' rows are read side by side before they are written as one.
+PARTS = 16
+
+
+def _gathered(parts: list[DataFrame]) -> list[DataFrame]:
+    return [checkpoint(reduce(DataFrame.unionByName, parts))] if len(parts) > PARTS else parts
+
+
 def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame) -> DataFrame:
-    """(fact) of all facts that hold."""
-    distinct = premises.select("justification", "premise", "premise_kind").distinct()
-    from_facts = not distinct.filter("premise_kind = 'fact'").limit(1).isEmpty()
-    live = sources.filter("not coalesce(retracted, false)").select(F.col("source").alias("premise")).distinct().withColumn("premise_kind", F.lit("source"))
-    met = distinct.join(live, ["premise", "premise_kind"], "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("met"))
-    need = distinct.groupBy("justification").agg(F.count(F.lit(1)).alias("need"))
-    left = need.join(met, "justification", "left").select("justification", (F.col("need") - F.coalesce("met", F.lit(0))).alias("left"))
-    first = left.filter("left = 0").join(derives, "justification").select("fact").distinct()
-    if not from_facts:
-        return first
-    left, held = checkpoint(left), checkpoint(first)
-    new = held
-    by_fact = checkpoint(distinct.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
-    while not new.limit(1).isEmpty():
-        hits = by_fact.join(new, "fact", "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("hit"))
-        left = checkpoint(left.join(hits, "justification", "left").select("justification", (F.col("left") - F.coalesce("hit", F.lit(0))).alias("left"), F.coalesce(F.col("hit") > 0, F.lit(False)).alias("moved")))
-        new = checkpoint(left.filter("left = 0 and moved").join(derives, "justification").select("fact").distinct().join(held, "fact", "left_anti"))
-        held = checkpoint(held.unionByName(new))
-        left = left.select("justification", "left")
-    return held
+    """(fact) of all facts that hold. Rounds write what they add and no more: the premises that came to hold, by
+    justification, and the new facts; justifications that wait for facts are looked up, not rewritten."""
+    pairs = premises.select("justification", "premise", "premise_kind").distinct()
+    live = sources.filter("not coalesce(retracted, false)").select(F.col("source").alias("premise")).distinct().withColumns({"premise_kind": F.lit("source"), "ok": F.lit(1)})
+    waits = F.coalesce(F.max(F.col("premise_kind") == "fact"), F.lit(False))
+    state = pairs.join(live, ["premise", "premise_kind"], "left").groupBy("justification").agg((F.count(F.lit(1)) - F.count("ok")).alias("left"), waits.alias("waits"))
+    derived = derives.select("justification", "fact").join(state, "justification")
+    if premises.filter("premise_kind = 'fact'").isEmpty():
+        return derived.filter("left = 0").select("fact").distinct()
+    derived = checkpoint(derived.filter("left = 0 or waits"))
+    by_fact = checkpoint(pairs.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
+    new = checkpoint(derived.filter("left = 0").select("fact").distinct())
+    held, counts = [new], []
+    while not new.isEmpty():
+        hits = checkpoint(by_fact.join(new, "fact", "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("hit")))
+        earlier = [c.join(hits, "justification", "left_semi") for c in counts]
+        met = reduce(DataFrame.unionByName, [hits, *earlier]).groupBy("justification").agg(F.sum("hit").alias("hit"))
+        done = derived.filter("left > 0").join(met, "justification").filter("hit = left").select("fact").distinct()
+        new = checkpoint(done.join(reduce(DataFrame.unionByName, held), "fact", "left_anti"))
+        held, counts = _gathered([*held, new]), _gathered([*counts, hits])
+    return reduce(DataFrame.unionByName, held)
 
 
 def retract(sources: DataFrame, ids: DataFrame, retracted: bool = True) -> DataFrame:
