@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions.shared import checkpoint
+
 
 def _ts(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("timestamp")
@@ -125,7 +127,7 @@ def collect_ordered(record: Column, *order: Column) -> Column:
 
 
 def batch_once(view: View, queries: dict[str, object]) -> dict[str, DataFrame]:
-    """Several queries over one snapshot, which is read once."""
+    """Several queries over one snapshot, which is folded once and written to the shared folder."""
     pinned = View.__new__(View)
-    pinned.mode, pinned.df = view.mode, view.df.persist()
+    pinned.mode, pinned.df = view.mode, checkpoint(view.df, "snapshot")
     return {name: q(pinned) for name, q in queries.items()}

@@ -136,6 +136,16 @@ def consumed_versions(spark, sf):
     return v.select("id", F.when(~F.col("deleted"), F.get_json_object("props", "$.v")).alias("v"), "deleted", "tx_from", "tx_to")
 
 
+@query(_RUNS + """ select user_id::varchar as id, case when not deleted then props::varchar end as v, deleted, tx::bigint as tx_from, (lead(tx) over (partition by user_id order by tx))::bigint as tx_to from c""")
+def compacted_versions(spark, sf):
+    """Versions of a store that was compacted between the two halves and holds later events of some keys."""
+    store, source = _store(spark), logs.log_source(log(spark, sf), "events")
+    ingest.consume(source, store, _users, stop=500, tx_wall=_WALL)
+    store.compact()
+    ingest.consume(source, store, _users, tx_wall=_WALL)
+    return store.versions().select("id", F.when(~F.col("deleted"), F.get_json_object("props", "$.v")).alias("v"), "deleted", "tx_from", "tx_to")
+
+
 @query("""with n as (select count(*) as n, max(event_id) // 5 as top from events), o as (select lpad((499 // 5)::varchar, 16, '0') as mid, lpad(top::varchar, 16, '0') as last from n)
 select 1::bigint as call, 500::bigint as processed, null::varchar as from_offset, mid as last_offset from o union all select 2, n - 500, mid, last from n, o union all select 3, 0, last, last from o""")
 def consume_results(spark, sf):

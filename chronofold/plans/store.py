@@ -12,6 +12,8 @@ import hashlib
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from chronofold.errors import CommitConflict, ConstraintError, StalePlanError
 from chronofold.functions.offsets import offset_ord
 from chronofold.plans import fold as folding
+from chronofold.plans.events import KEYS
 
 
 @dataclass
@@ -28,6 +31,7 @@ class Head:
     last_tx: int = 0
     cursors: dict[str, str] = field(default_factory=dict)
     files: list[list[str]] = field(default_factory=list)
+    folded: str | None = None
 
 
 class BeliefStore:
@@ -60,7 +64,7 @@ class BeliefStore:
         if not done:
             return Head()
         m = self._read(max(done))
-        return Head(m["n"], m["revision"], m["last_tx"], m["cursors"], m["files"])
+        return Head(m["n"], m["revision"], m["last_tx"], m["cursors"], m["files"], m.get("folded"))
 
     def _publish_manifest(self, manifest: dict) -> None:
         path = self._commit_path(manifest["n"])
@@ -85,19 +89,46 @@ class BeliefStore:
         base = f"{self.root}/data/{n:012d}-{uuid.uuid4().hex}"
         for name, df in (("events", events), ("revisions", revisions), ("points", points)):
             df.write.parquet(f"{base}/{name}")
-        head = Head(n, revision, last_tx, cursors, [*parent.files, [base]])
-        self._publish_manifest({"n": n, "parent": parent.n, "revision": revision, "last_tx": last_tx, "cursors": cursors, "files": head.files})
+        return self._publish(Head(n, revision, last_tx, cursors, [*parent.files, [base]], parent.folded), parent.n)
+
+    def _publish(self, head: Head, parent: int) -> Head:
+        self._publish_manifest({"n": head.n, "parent": parent, "revision": head.revision, "last_tx": head.last_tx, "cursors": head.cursors, "files": head.files, "folded": head.folded})
         return head
 
-    def _table(self, name: str) -> DataFrame | None:
-        files = [f"{f[0]}/{name}" for f in self.head().files]
+    def compact(self) -> Head:
+        """A commit that holds the same in fewer files: events, revisions and checkpoints as one set, and the folded
+        versions by ranges of their keys, so that files of other keys are skipped. Later reads fold only the keys
+        that have later events. Old files stay for branches and readers that name them."""
+        head = self.head()
+        if not head.files:
+            return head
+        base = f"{self.root}/data/{head.n + 1:012d}-{uuid.uuid4().hex}"
+        order = ["kind", "id", "from_kind", "from_id", "tx_from"]
+        self.versions().repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{base}/versions")
+        for name in ("events", "revisions", "points"):
+            self._table(name).hint("rebalance").write.parquet(f"{base}/{name}")
+        return self._publish(Head(head.n + 1, head.revision, head.last_tx, head.cursors, [[base]], base), head.n)
+
+    def _table(self, name: str, files: list[list[str]] | None = None) -> DataFrame | None:
+        files = [f"{f[0]}/{name}" for f in (self.head().files if files is None else files)]
         return self.spark.read.parquet(*files) if files else None
 
     def events(self) -> DataFrame | None:
         return self._table("events")
 
     def versions(self) -> DataFrame:
-        return folding.fold(self.events())
+        """All versions: those of the last `compact`, and the fold of every key that has events after it."""
+        head = self.head()
+        if head.folded is None:
+            return folding.fold(self.events())
+        done = self.spark.read.parquet(f"{head.folded}/versions")
+        later = self._table("events", head.files[1:])
+        if later is None:
+            return done
+        touched = later.select(*[F.col(k).alias(f"_{k}") for k in KEYS]).distinct()
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+        events = self._table("events", head.files[:1]).join(touched, same, "left_semi").unionByName(later)
+        return done.join(touched, same, "left_anti").unionByName(folding.fold(events).select(*done.columns))
 
     def revisions(self) -> DataFrame | None:
         return self._table("revisions")
@@ -114,7 +145,7 @@ class BeliefStore:
         copy = BeliefStore(self.spark, root, self.graph, self.history, self, enforce_unique)
         h = self.head()
         if h.n:
-            copy._publish_manifest({"n": 1, "parent": 0, "revision": h.revision, "last_tx": h.last_tx, "cursors": {}, "files": h.files})
+            copy._publish_manifest({"n": 1, "parent": 0, "revision": h.revision, "last_tx": h.last_tx, "cursors": {}, "files": h.files, "folded": h.folded})
         return copy
 
     def export(self, path: str) -> None:

@@ -127,3 +127,18 @@ def test_forks(spark):
         control.cursor_point("plain")
     df = spark.createDataFrame([("s", "-1", 0, "x"), ("s", "3", 0, "y"), ("s", "3", 1, "z"), ("b", "4", 0, "own")], "stream string, append_base string, ix int, k string")
     assert rows(f.read("b", df).select("stream", "k")) == [("b", "own"), ("b", "x"), ("b", "y")]
+
+
+def test_support_of_long_chains(spark, monkeypatch):
+    """Facts that need several facts, a cycle and more rounds than are kept side by side, against a plain fixpoint."""
+    monkeypatch.setattr(support, "PARTS", 2)
+    needs = {"j0": ["s0"], "ja": ["s1", "f0"], "jb": ["sx"], **{f"j{i}": [f"f{i - 1}"] for i in range(1, 6)}, "jc": ["f1", "f4"], "jd": ["f5", "g9"], "je": ["h"], "jh": ["k"], "jn": ["f0", "f0"]}
+    gives = {"j0": "f0", "ja": "a", "jb": "b", **{f"j{i}": f"f{i}" for i in range(1, 6)}, "jc": "c", "jd": "d", "je": "k", "jh": "h", "jn": "f5", "jm": "m"}
+    sources = spark.createDataFrame([("s0", False), ("s1", None), ("sx", True)], "source string, retracted boolean")
+    premises = spark.createDataFrame([(j, p, "source" if p.startswith("s") else "fact") for j, ps in needs.items() for p in ps], "justification string, premise string, premise_kind string")
+    derives = spark.createDataFrame(list(gives.items()), "justification string, fact string")
+    held, size = {"s0", "s1"}, 0
+    while len(held) != size:
+        size = len(held)
+        held |= {gives[j] for j, ps in needs.items() if set(ps) <= held}
+    assert rows(support.holding(sources, premises, derives)) == sorted((f,) for f in held - {"s0", "s1"})

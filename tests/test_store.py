@@ -166,3 +166,25 @@ def test_rules_hold_across_commits(spark, tmp_path):
     add("p>c", "delete", "at")
     add("c", "delete", "C")
     assert rows(s.versions().filter("tx_to is null and not deleted").select("kind", "id")) == [("C", "d"), ("P", "p"), ("P", "q")]
+
+
+def test_compaction_keeps_all_reads(spark, tmp_path):
+    s, whole = (st.BeliefStore(spark, f"file://{tmp_path}/{x}", GRAPH) for x in "bw")
+    assert s.compact().n == 0
+    more = [*ITEMS, ("005", "b", "delete", None), ("006", "d", "insert", "d1")]
+    for store in (s, whole):
+        ingest.consume(source(spark, ITEMS), store, decode, tx_wall="2020-01-01")
+    before, marks = rows(s.versions()), rows(s.checkpoints())
+    s.compact()
+    assert rows(s.versions()) == before and rows(s.checkpoints()) == marks and s.recorded_now() == 4
+    assert len(s.head().files) == 1
+    copy = s.branch(f"file://{tmp_path}/copy")
+    for store in (s, whole):
+        assert ingest.consume(source(spark, more), store, decode, tx_wall="2020-01-02").from_offset == "004"
+    assert rows(s.versions()) == rows(whole.versions()) and rows(s.revisions()) == rows(whole.revisions())
+    assert current(s) == {"a": "a2", "c": "c1", "d": "d1"}
+    assert rows(copy.versions()) == before
+    s.compact()
+    assert rows(s.versions()) == rows(whole.versions()) and len(s.head().files) == 1
+    with pytest.raises(DroppedChangeError):
+        ingest.consume(source(spark, [*more, ("007", "x", "insert", "skip")]), s, decode)
