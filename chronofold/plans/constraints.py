@@ -1,7 +1,7 @@
 """Graph constraints as set queries over events and versions; reports and raising checks.
 
 Existence and counts at a sequence point are running sums over one sorted stream per key (sweep line),
-not interval self joins, so hot keys sort and stream instead of pairing up.
+not interval self joins. The streams are summed by slices of transactions, so the edges of a hub spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.errors import ConstraintError
+from chronofold.functions.positions import STEP, in_steps, running
 from chronofold.plans.events import EDGE_UPSERT, NODE_REMOVE, NODE_UPSERT
 from chronofold.plans.fold import op_rank, states
 
 ORDER = ("tx", "change_ix", "op_rank", "event_ix")
 
 
+def _swept(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows with the sum of `change` of their key up to their place in the stream."""
+    return running(in_steps(rows, "tx", STEP), by, list(ORDER), F.col("change"), name)
+
+
 def inverted_windows(versions: DataFrame) -> DataFrame:
     """Versions whose window ends before it starts."""
     return versions.filter("valid_to < valid_from")
@@ -25,13 +31,15 @@ def missing_endpoints(events: DataFrame) -> DataFrame:
     """Edge upserts at whose place in the stream an endpoint does not exist: (kind, from_id, to_id, tx,
     missing). Each node key is swept once: its own events switch it on and off, edges look at it."""
     df = events.withColumn("op_rank", op_rank())
-    node = df.filter(F.col("op").isin(NODE_UPSERT, NODE_REMOVE)).select(F.col("kind").alias("nk"), F.col("id").alias("nid"), *ORDER, (F.col("op") == NODE_UPSERT).alias("on"), *[F.lit(None).cast("string").alias(c) for c in ("kind", "from_id", "to_id")])
+    own = Window.partitionBy("kind", "id").orderBy(*ORDER)
+    on = (F.col("op") == NODE_UPSERT).cast("int")
+    node = df.filter(F.col("op").isin(NODE_UPSERT, NODE_REMOVE)).withColumn("change", on - F.coalesce(F.lag(on).over(own), F.lit(0)))
+    node = node.select(F.col("kind").alias("nk"), F.col("id").alias("nid"), *ORDER, "change", *[F.lit(None).cast("string").alias(c) for c in ("kind", "from_id", "to_id")])
     ends = []
     for side in ("from", "to"):
-        ends.append(df.filter(F.col("op") == EDGE_UPSERT).select(F.col(f"{side}_kind").alias("nk"), F.col(f"{side}_id").alias("nid"), *ORDER, F.lit(None).cast("boolean").alias("on"), "kind", "from_id", "to_id"))
-    w = Window.partitionBy("nk", "nid").orderBy(*ORDER)
-    swept = node.unionByName(ends[0]).unionByName(ends[1]).withColumn("live", F.last("on", ignorenulls=True).over(w))
-    bad = swept.filter(F.col("kind").isNotNull() & ~F.coalesce("live", F.lit(False)))
+        ends.append(df.filter(F.col("op") == EDGE_UPSERT).select(F.col(f"{side}_kind").alias("nk"), F.col(f"{side}_id").alias("nid"), *ORDER, F.lit(0).alias("change"), "kind", "from_id", "to_id"))
+    swept = _swept(node.unionByName(ends[0]).unionByName(ends[1]), ["nk", "nid"], "live")
+    bad = swept.filter("kind is not null and live = 0")
     return bad.select("kind", "from_id", "to_id", "tx", F.concat_ws("/", "nk", "nid").alias("missing"))
 
 
@@ -44,8 +52,7 @@ def restricted_deletes(events: DataFrame) -> DataFrame:
     edge = s.filter("from_id is not null")
     ends = edge.select(F.col("from_kind").alias("nk"), F.col("from_id").alias("nid"), *ORDER, "change", F.lit(False).alias("removal")).unionByName(edge.filter("from_id <> to_id or from_kind <> to_kind").select(F.col("to_kind").alias("nk"), F.col("to_id").alias("nid"), *ORDER, "change", F.lit(False).alias("removal")))
     gone = s.filter("id is not null and not up and change = -1").select(F.col("kind").alias("nk"), F.col("id").alias("nid"), *ORDER, F.lit(0).alias("change"), F.lit(True).alias("removal"))
-    w = Window.partitionBy("nk", "nid").orderBy(*ORDER)
-    swept = ends.unionByName(gone).withColumn("live_edges", F.sum("change").over(w))
+    swept = _swept(ends.unionByName(gone), ["nk", "nid"], "live_edges")
     return swept.filter("removal and live_edges > 0").select(F.col("nk").alias("kind"), F.col("nid").alias("id"), "tx", "live_edges")
 
 
@@ -57,8 +64,8 @@ def cardinality_violations(events: DataFrame, kinds: list[str]) -> DataFrame:
     live = F.col("up") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("tx_wall")))
     s = s.withColumn("live", live.cast("int"))
     s = s.withColumn("change", F.col("live") - F.coalesce(F.lag("live").over(step), F.lit(0)))
-    w = Window.partitionBy("kind", "from_kind", "from_id").orderBy(*ORDER)
-    return s.withColumn("n_live", F.sum("change").over(w)).filter("change > 0 and n_live > 1").select("kind", "from_id", "to_id", "tx", "n_live")
+    s = s.select("kind", "from_kind", "from_id", "to_id", *ORDER, "change")
+    return _swept(s, ["kind", "from_kind", "from_id"], "n_live").filter("change > 0 and n_live > 1").select("kind", "from_id", "to_id", "tx", "n_live")
 
 
 def unique_violations(current: DataFrame, kind: str, value) -> DataFrame:

@@ -153,3 +153,41 @@ def test_inverted_windows(spark):
     assert constraints.inverted_windows(v).count() == 1
     assert fold.repair_windows(v).first().valid_from is None
     assert fold.repair_windows(v).filter(F.col("valid_to").isNotNull()).count() == 1
+
+
+@pytest.mark.parametrize("step", [3, 100_000])
+def test_rules_over_slices_of_a_hub(spark, monkeypatch, step):
+    """Every rule against a replay event by event, with a hub whose edges lie in many slices or in one."""
+    monkeypatch.setattr(constraints, "STEP", step)
+    rng = random.Random(11)
+    data = []
+    for tx in range(1, 120):
+        pick = rng.random()
+        if pick < 0.3:
+            data.append(node(tx, rng.choice(["upsert", "upsert", "remove"]), rng.choice("habc")))
+        else:
+            data.append(edge(tx, rng.choice(["upsert", "upsert", "remove"]), *rng.sample(["h", "h", *"abcd"], 2)))
+    there, links, missing, deletes, many = set(), set(), [], [], []
+    for e in data:
+        tx, op, id, pair = e[0], e[4], e[6], (e[8], e[10])
+        if op == "node.upsert":
+            there.add(id)
+        elif op == "node.remove":
+            touching = sum(1 for p in links if id in p)
+            if id in there and touching:
+                deletes.append(("N", id, tx, touching))
+            there.discard(id)
+        elif op == "edge.upsert":
+            missing += [("e", *pair, tx, f"N/{x}") for x in pair if x not in there]
+            born = pair not in links
+            links.add(pair)
+            n = sum(1 for p in links if p[0] == pair[0])
+            if born and n > 1:
+                many.append(("e", *pair, tx, n))
+        else:
+            links.discard(pair)
+    df = frame(spark, data)
+    assert missing and deletes and many
+    assert rows(constraints.missing_endpoints(df)) == sorted(missing, key=repr)
+    assert rows(constraints.restricted_deletes(df)) == sorted(deletes, key=repr)
+    assert rows(constraints.cardinality_violations(df, ["e"])) == sorted(many, key=repr)
