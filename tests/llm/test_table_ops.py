@@ -155,3 +155,40 @@ def test_co_training_sees_all_documents(spark):
 def test_pages_name_documents(spark):
     p = spark.createDataFrame([("https://a.example.org/fr/12?page=2",), ("http://b.example.com/en/12.html",), ("x",), (None,)], "url string")
     assert [tuple(r) for r in qc.page_metadata(p).collect()] == [(12, "b.example.com", "com", ".html", "")]
+
+
+def test_vectors_are_sent_to_two_tasks_at_most(spark):
+    """However many tiles the cells of a group have, no round deals a vector out more than twice; all pairs of
+    tiles of a cell and of neighbouring cells meet once."""
+    tiles = {0: 3, 1: 7, 2: 1, 4: 2}
+    around = [(c, own, n, tiles.get(c + 1, 0), tiles.get(c - 1, 0)) for c, n in tiles.items() for own in range(n)]
+    rows = spark.createDataFrame([("l", 1, i, 1, [1.0], *r) for i, r in enumerate(around)], "label string, d int, rep long, copies long, v array<double>, cell long, own int, tiles int, above int, below int")
+    met = Counter()
+    for df in embedding_dedup._rounds(rows, 7):
+        dealt = df.select("rep", "base", "step", "s", "t", "side").collect()
+        assert max(Counter(r["rep"] for r in dealt).values(), default=0) <= 2
+        met.update(tuple(r)[1:] for r in dealt)
+    want = Counter()
+    for c, n in tiles.items():
+        want.update({(c, 0, s, t, side): 1 for s in range(n) for t in range(s, n) for side in ((0,) if s == t else (0, 1))})
+        want.update({(c, 1, s, t, side): 1 for s in range(n) for t in range(tiles.get(c + 1, 0)) for side in (0, 1)})
+    assert met == want
+
+
+def test_blocks_of_a_tile(spark, monkeypatch):
+    """Tiles of many blocks, links joined on the way, vectors in single precision."""
+    for name, value in {"ROWS": 7, "COLUMNS": 11, "PAIRS": 5, "LINKS": 9}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=(60, 24)) * np.r_[np.full(12, 1.0), np.full(12, 0.05)]
+    v = np.r_[near, near[:40] + rng.normal(size=(40, 24)) * 0.12, near[0] + rng.normal(size=(50, 24)) * 0.05].astype(np.float32).astype(float)
+    got = Counter()
+    a = embedding_dedup._Side(v, None)
+    for i, j in embedding_dedup._near_pairs(a, a, 0.98, True):
+        got.update(zip(i.tolist(), j.tolist(), strict=True))
+    cosine = (v @ v.T) / np.sqrt(np.outer((v**2).sum(1), (v**2).sum(1)))
+    assert len(got) > 1000 and got == Counter((i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if cosine[i, j] >= 0.98)
+    data = [(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    for tile in (None, 20):
+        assert Counter(tuple(r) for r in embedding_dedup.near_vectors(df, tile=tile).collect()) == brute_vectors(data, 0.98)
