@@ -24,18 +24,27 @@ def _gathered(parts: list[DataFrame]) -> list[DataFrame]:
     return [checkpoint(reduce(DataFrame.unionByName, parts))] if len(parts) > PARTS else parts
 
 
-def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame) -> DataFrame:
-    """(fact) of all facts that hold. Rounds write what they add and no more: the premises that came to hold, by
-    justification, and the new facts; justifications that wait for facts are looked up, not rewritten."""
-    pairs = premises.select("justification", "premise", "premise_kind").distinct()
-    live = sources.filter("not coalesce(retracted, false)").select(F.col("source").alias("premise")).distinct().withColumns({"premise_kind": F.lit("source"), "ok": F.lit(1)})
+def prepared(premises: DataFrame, derives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `holding` needs to know whatever is retracted, written once for several states of the sources: distinct
+    premises, and derived facts with the number of premises and whether these wait for facts."""
+    pairs = checkpoint(premises.select("justification", "premise", "premise_kind").distinct())
     waits = F.coalesce(F.max(F.col("premise_kind") == "fact"), F.lit(False))
-    state = pairs.join(live, ["premise", "premise_kind"], "left").groupBy("justification").agg((F.count(F.lit(1)) - F.count("ok")).alias("left"), waits.alias("waits"))
-    derived = derives.select("justification", "fact").join(state, "justification")
-    if premises.filter("premise_kind = 'fact'").isEmpty():
+    totals = pairs.groupBy("justification").agg(F.count(F.lit(1)).alias("total"), waits.alias("waits"))
+    return pairs, checkpoint(derives.select("justification", "fact").join(totals, "justification"))
+
+
+def holding(sources: DataFrame, premises: DataFrame, derives: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(fact) of all facts that hold. Rounds write what they add and no more: the premises that came to hold, by
+    justification, and the new facts; justifications that wait for facts are looked up, not rewritten. `ready`:
+    what `prepared` made of these premises and derives."""
+    pairs, needs = ready or prepared(premises, derives)
+    live = sources.filter("not coalesce(retracted, false)").select(F.col("source").alias("premise")).distinct()
+    ok = pairs.filter("premise_kind = 'source'").join(live, "premise", "left_semi").groupBy("justification").agg(F.count(F.lit(1)).alias("ok"))
+    derived = needs.join(ok, "justification", "left").select("justification", "fact", (F.col("total") - F.coalesce("ok", F.lit(0))).alias("left"), "waits")
+    if pairs.filter("premise_kind = 'fact'").isEmpty():
         return derived.filter("left = 0").select("fact").distinct()
     derived = checkpoint(derived.filter("left = 0 or waits"))
-    by_fact = checkpoint(pairs.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact")))
+    by_fact = pairs.filter("premise_kind = 'fact'").select("justification", F.col("premise").alias("fact"))
     new = checkpoint(derived.filter("left = 0").select("fact").distinct())
     held, counts = [new], []
     while not new.isEmpty():
@@ -63,7 +72,8 @@ def supported_justifications(sources: DataFrame, premises: DataFrame, held: Data
 
 def report(sources: DataFrame, changed: DataFrame, premises: DataFrame, derives: DataFrame) -> DataFrame:
     """(fact, outcome): died, revived, survived (lost a justification, still holds) or unaffected."""
-    before, after = holding(sources, premises, derives), holding(changed, premises, derives)
+    ready = prepared(premises, derives)
+    before, after = (checkpoint(holding(s, premises, derives, ready)) for s in (sources, changed))
     lost = supported_justifications(sources, premises, before).join(supported_justifications(changed, premises, after), "justification", "left_anti")
     hurt = lost.join(derives, "justification").select("fact").distinct().withColumn("hurt", F.lit(True))
     b, a = before.withColumn("b", F.lit(True)), after.withColumn("a", F.lit(True))
@@ -72,6 +82,13 @@ def report(sources: DataFrame, changed: DataFrame, premises: DataFrame, derives:
     return df.select("fact", outcome.alias("outcome"))
 
 
+def turned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(fact, outcome) of the facts that died or revived between two sets of held facts: the rows of `report` that
+    change a belief, without another look at justifications."""
+    died = before.join(after, "fact", "left_anti").select("fact", F.lit("died").alias("outcome"))
+    return died.unionByName(after.join(before, "fact", "left_anti").select("fact", F.lit("revived").alias("outcome")))
+
+
 def explain(fact: str, sources: DataFrame, premises: DataFrame, derives: DataFrame, held: DataFrame) -> DataFrame:
     """Why a fact is or was believed: its justifications and sources, retracted ones too."""
     why = derives.filter(F.col("fact") == fact).join(premises.filter("premise_kind = 'source'"), "justification")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold import errors
 from chronofold.functions import offsets as O
-from chronofold.functions.shared import shared_folder
+from chronofold.functions.shared import checkpoint, shared_folder
 from chronofold.operators import decoders, resolve, support, tools
 from chronofold.plans import constraints, events as ev, fold as folding, ingest
 from chronofold.plans.queries_ingest import log, node_events
@@ -343,9 +343,10 @@ select r.r::bigint as revision, count(*) filter (where case when r.r = 1 then he
 def recorded_beliefs(spark, sf):
     """Facts as recorded before a retraction, after it, and after it is undone."""
     sources, premises, derives = beliefs(spark, sf)
+    ready = support.prepared(premises, derives)
     gone = support.retract(sources, _gone(sources))
-    first = support.holding(sources, premises, derives)
-    changes = support.belief_changes({1: support.report(sources, gone, premises, derives), 2: support.report(gone, sources, premises, derives)})
+    first, after = (checkpoint(support.holding(s, premises, derives, ready), "held") for s in (sources, gone))
+    changes = checkpoint(support.belief_changes({1: support.turned(first, after), 2: support.turned(after, first)}), "changes")
     parts = [support.beliefs_at(first, changes, r).agg(F.lit(r).cast("long").alias("revision"), F.count(F.lit(1)).alias("n_held"), F.coalesce(F.sum(F.length("fact")), F.lit(0)).cast("long").alias("letters")) for r in (0, 1, 2)]
     return reduce(DataFrame.unionByName, parts)
 

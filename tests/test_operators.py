@@ -68,6 +68,30 @@ def test_support_and_cascade(spark):
     assert rows(why.select("source", "retracted", "currently_held")) == [("s1", False, True), ("s2", False, True), ("v", True, True)]
 
 
+def test_beliefs_are_turned_from_held_facts(spark, monkeypatch):
+    """Several states share the prepared premises, and what turned between them is what the report says."""
+    sources = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "source string, retracted boolean")
+    premises = spark.createDataFrame([("j1", "a", "source"), ("j1", "a", "source"), ("j2", "x", "fact"), ("j2", "b", "source"), ("j3", "c", "source"), ("j4", None, "source"), ("j5", "y", "fact")], "justification string, premise string, premise_kind string")
+    derives = spark.createDataFrame([("j1", "x"), ("j2", "y"), ("j3", "z"), ("j4", "w"), ("j5", "v")], "justification string, fact string")
+    changed = spark.createDataFrame([("a", False), ("b", True), ("c", False)], "source string, retracted boolean")
+    said = [r for r in rows(support.report(sources, changed, premises, derives)) if r[1] in ("died", "revived")]
+    ready = support.prepared(premises, derives)
+    monkeypatch.setattr(support, "prepared", None)
+    before, after = (support.holding(s, premises, derives, ready) for s in (sources, changed))
+    assert rows(before) == [("v",), ("x",), ("y",)] and rows(after) == [("x",), ("z",)]
+    assert rows(support.turned(before, after)) == said == [("v", "died"), ("y", "died"), ("z", "revived")]
+
+
+def test_recorded_beliefs_hold_each_state_once(spark, monkeypatch):
+    """Two states of the sources are two fixpoints, not one for each report and revision."""
+    from chronofold.plans import catalog
+
+    calls, plain = [], support.holding
+    monkeypatch.setattr(support, "holding", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    catalog.queries()["recorded_beliefs"](spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 2
+
+
 def test_timeline(spark):
     v = [("1", "ada", 1, 3, {"title": "x"}), ("2", "ada", 3, None, {"title": "y"}), ("3", "jd", 1, 5, {"a": "b"}), ("4", "jd", 5, None, {"a": "b"}), ("5", "new", 4, None, {})]
     df = spark.createDataFrame(v, "id string, entity_id string, recorded_from int, recorded_to int, attributes map<string,string>").withColumn("valid_to", F.lit(None).cast("string"))
