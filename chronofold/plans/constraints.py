@@ -17,9 +17,9 @@ from chronofold.plans.fold import op_rank, states
 ORDER = ("tx", "change_ix", "op_rank", "event_ix")
 
 
-def _swept(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Rows with the sum of `change` of their key up to their place in the stream."""
-    return running(in_steps(rows, "tx", STEP), by, list(ORDER), F.col("change"), name)
+def _swept(rows: DataFrame, by: list[str], name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the sum of `change` of their key up to their place in the stream; rows of one place by `ties`."""
+    return running(in_steps(rows, "tx", STEP), by, [*ORDER, *ties], F.col("change"), name)
 
 
 def inverted_windows(versions: DataFrame) -> DataFrame:
@@ -58,14 +58,14 @@ def restricted_deletes(events: DataFrame) -> DataFrame:
 
 def cardinality_violations(events: DataFrame, kinds: list[str]) -> DataFrame:
     """Edge births that give a source more than one live edge of a kind with cardinality one. An edge with
-    an ended window frees its source."""
+    an ended window frees its source. Edges of one place in the stream are born by target, so that reruns agree."""
     s = states(events.filter(F.col("kind").isin(kinds)))
     step = Window.partitionBy("kind", "id", "from_kind", "from_id", "to_kind", "to_id").orderBy(*ORDER)
     live = F.col("up") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("tx_wall")))
     s = s.withColumn("live", live.cast("int"))
     s = s.withColumn("change", F.col("live") - F.coalesce(F.lag("live").over(step), F.lit(0)))
-    s = s.select("kind", "from_kind", "from_id", "to_id", *ORDER, "change")
-    return _swept(s, ["kind", "from_kind", "from_id"], "n_live").filter("change > 0 and n_live > 1").select("kind", "from_id", "to_id", "tx", "n_live")
+    s = s.select("kind", "from_kind", "from_id", "id", "to_kind", "to_id", *ORDER, "change")
+    return _swept(s, ["kind", "from_kind", "from_id"], "n_live", ("to_kind", "to_id", "id")).filter("change > 0 and n_live > 1").select("kind", "from_id", "to_id", "tx", "n_live")
 
 
 def unique_violations(current: DataFrame, kind: str, value) -> DataFrame:

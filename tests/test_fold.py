@@ -125,6 +125,19 @@ def test_cardinality_one(spark):
     assert rows(constraints.cardinality_violations(bad, ["e"])) == [("e", "a", "d", 7, 2)]
 
 
+def test_cardinality_of_edges_at_one_place(spark):
+    """Edges of one change are born by target, however the rows are dealt."""
+    names = [chr(c) for c in range(ord("b"), ord("t"))]
+    df = frame(spark, [edge(1, "upsert", "a", to) for to in names])
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(constraints.cardinality_violations(df, ["e"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert got == [("e", "a", to, 1, n) for n, to in enumerate(names[1:], 2)]
+
+
 def test_writes_of_absent_rows(spark):
     got = rows(fold.effective_writes(frame(spark, [node(1, "remove"), edge(2, "remove", "a", "b"), edge(3, "upsert", "a", "b"), edge(4, "remove", "a", "b")])))
     assert got == [(1, 1, 1), (2, 2, 0), (3, 3, 1), (4, 4, 1)]
