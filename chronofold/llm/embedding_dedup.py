@@ -205,6 +205,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     every = every.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("digest", F.when(F.col("fit"), F.unhex(F.sha2(F.concat_ws(",", "label", F.to_json(plain)), 256))))
     classes = every.filter("fit").groupBy("digest", "label").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = keep(classes.withColumn("rep", F.xxhash64("digest")).withColumn("d", F.size("v")), "vector-classes")
+    names = keep(classes.select("rep", "digest", "low", "copies"), "vector-names")
     rotation = spark.sparkContext.broadcast(axes(classes.select("v")))
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9) or 1.0
     most = F.lit(tile) if tile else F.greatest(F.lit(LEAST_TILE), F.floor(F.lit(TILE_SIZE) / F.col("d")))
@@ -223,20 +224,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         placed = keep(placed.mapInArrow(_celled(rotation, width), "label string, d int, rep long, copies long, v array<%s>, cell long" % number), "placed")
         counts = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tiles"))
         counts = keep(counts, "tile-counts")
+        forget(classes)  # the vectors are in `placed` now
         above = counts.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("above"))
         below = counts.select("label", "d", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("below"))
         around = counts.join(above, ["label", "d", "cell"], "left").join(below, ["label", "d", "cell"], "left").fillna(0, ["above", "below"])
         rows = placed.join(F.broadcast(around), ["label", "d", "cell"]).withColumn("own", F.pmod(F.hash("rep"), F.col("tiles")))
         parts += [compare(df) for df in _rounds(rows, counts.agg(F.max("tiles")).first()[0])]
-        forget(placed)
+        classes = placed
+    forget(classes)
     links = reduce(DataFrame.unionByName, parts)
     found = components(links.select("a", "b"))
     degree = links.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    named = classes.select("rep", "digest", "low", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    named = names.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = keep(named.join(low, "component").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "vector-components")
-    forget(classes)
+    forget(names)
     # Vectors that link with nothing have no digest; they stay out of the join.
     every = every.select("id", "fit", "digest")
     out = every.filter("fit").select("id", "digest").join(named, "digest", "left")
